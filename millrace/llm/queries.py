@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sentence_pieces
+from . import decontaminate, exact_dedup, jaccard_join, sentence_pieces
 from ._tables import read
 
 #: Where the public tokenizer files are; a parameter of the operators that use them.
@@ -76,10 +76,42 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(read(spark, sf_dir, "documents"), tokenizer_bytes(PIECE_MODEL))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 3) - 1), ' ') AS s
+  FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM sh AS a JOIN sh AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+  WHERE na.n * 10 >= nb.n * 9 AND nb.n * 10 >= na.n * 9
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))
+),
+reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM d
+  UNION
+  SELECT links.y, reach.label FROM reach JOIN links ON links.x = reach.node WHERE reach.label < links.y
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.label) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op9_jaccard_join": OP9_SQL}
