@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, sentence_pieces
+from . import decontaminate, exact_dedup, jaccard_join, licenses, sentence_pieces, token_counts, toxicity
 from ._tables import read
 
 #: Where the public tokenizer files are; a parameter of the operators that use them.
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def tokenizer_bytes(name: str) -> bytes:
@@ -22,6 +23,12 @@ def tokenizer_bytes(name: str) -> bytes:
         return f.read()
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
 
@@ -76,6 +83,14 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(read(spark, sf_dir, "documents"), tokenizer_bytes(PIECE_MODEL))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_bytes(BYTE_BPE), "json", limit=1024)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -108,10 +123,13 @@ FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op7_token_counts": op7_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op9_jaccard_join": OP9_SQL}
