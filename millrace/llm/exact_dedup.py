@@ -1,16 +1,11 @@
 """Exact duplicates by a tree merge of sorted digest runs (DataFrame functions only).
 
-Every row belongs to one of ``ways`` runs.  A run is dealt out by (run, digest),
-sorted by digest, and holds each digest once with its count and the identifier
-that stays.  Runs then meet in binomial rounds: a round of radix 2**b takes the
-low b bits off the run number, so 2**b runs merge into one, each entry again
-verified (SHA-256, a second hash of 64 bits and the byte length must all agree)
-and reduced to one identifier.  After the last round there is one run, dealt out
-by digest.  The way back down the same tree hands every row its group's entry:
-no key ever has more rows in one task than one run has, so a group of a third of
-all rows is spread over ``ways`` keys and pre-aggregated before it moves.
+Partitions hold sorted runs of digests and exchange them in binomial rounds (see
+``_tree``).  At every level entries merge only if SHA-256, a second hash of 64 bits and
+the byte length all agree, and one identifier is retained.
 
-Only digests move; texts never leave the scan.
+Only digests move; texts never leave the scan, which reads them once: the digests are
+written to the shared folder (some 3 % of the input) and all rounds read them there.
 """
 
 from __future__ import annotations
@@ -18,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import SPREAD, spread_of
+from ._tables import SPREAD, written
+from ._tree import merge_runs
 
 KEY = ["_sha", "_h64", "_len"]
 
@@ -43,35 +39,24 @@ def exact_groups(
     """
     choose = {"max": F.max, "min": F.min}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.unhex(F.sha2(text, 256)).alias("_sha"),
-        F.xxhash64(text).alias("_h64"),
-        F.octet_length(text).alias("_len"),
-        spread_of(F.coalesce(F.col(id_col).cast("string"), F.sha2(text, 256)), ways).alias("_run"),
+    digests = written(
+        docs.select(
+            F.col(id_col).alias("_id"),
+            F.unhex(F.sha2(text, 256)).alias("_sha"),
+            F.xxhash64(text).alias("_h64"),
+            F.octet_length(text).alias("_len"),
+        ),
+        "digests",
     )
-    # The one exchange of all digests: the merge and the way back both read it.
-    runs = rows.repartition("_run", *KEY).sortWithinPartitions("_run", *KEY)
-    levels = [
-        runs.groupBy("_run", *KEY).agg(choose("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    ]
-    bits = (ways - 1).bit_length()
-    for done in range(0, bits, radix_bits):
-        left = max(0, bits - done - radix_bits)
-        levels.append(
-            levels[-1]
-            .withColumn("_run", F.shiftright("_run", min(radix_bits, bits - done)))
-            .groupBy("_run", *KEY)
-            .agg(choose("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-        )
-        if not left:
-            break
-    found = levels.pop()
-    for level, shift in zip(reversed(levels), _shifts(bits, radix_bits)[::-1], strict=True):
-        below = level.select("_run", F.shiftright("_run", shift).alias("_up"), *KEY)
-        found = below.join(found.withColumnRenamed("_run", "_up"), ["_up", *KEY]).drop("_up")
-    out = runs.join(found, ["_run", *KEY])
-    return out.select(
+    tree = merge_runs(
+        digests,
+        KEY,
+        "_id",
+        {"_keep": (choose("_id"), choose), "_n": (F.count(F.lit(1)), F.sum)},
+        ways=ways,
+        radix_bits=radix_bits,
+    )
+    return tree.down(tree.root).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").cast("long").alias("group_size"),
@@ -80,10 +65,6 @@ def exact_groups(
     )
 
 
-def _shifts(bits: int, radix_bits: int) -> list[int]:
-    return [min(radix_bits, bits - done) for done in range(0, bits, radix_bits)]
-
-
 def drop_exact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
