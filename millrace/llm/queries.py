@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, licenses, sentence_pieces, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_text, jaccard_join, licenses, secrets_scan, sentence_pieces, token_counts, toxicity
 from ._tables import read
 
 #: Where the public tokenizer files are; a parameter of the operators that use them.
@@ -29,6 +29,43 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat_format.turns_as_calls(read(spark, sf_dir, "conversations"))
+    schemas = spark.sql(
+        "SELECT * FROM VALUES ('reply', 'chars', 'integer', true), ('reply', 'words', 'integer', true) AS s(name, param, type, required)"
+    )
+    return chat_format.format_chats(messages, schemas)
+
+
+OP2_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, role, text,
+         CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id,
+         role IN ('user', 'assistant') AS tool
+  FROM conversations
+),
+link AS (
+  SELECT conv_id, call_id, bool_or(role = 'user') AS c, bool_or(role = 'assistant') AS r FROM m WHERE tool GROUP BY ALL
+)
+SELECT m.conv_id, turn, role, m.call_id, CASE WHEN tool THEN coalesce(c AND r, false) END AS linked,
+       CASE WHEN c THEN 0 END::BIGINT AS level, '' AS errors,
+       CASE role
+         WHEN 'user' THEN '{"arguments":{"chars":' || len(text) || ',"words":' || len(regexp_extract_all(text, '[^ \n]+'))
+              || '},"call_id":' || to_json(m.call_id) || ',"content":' || to_json(text) || ',"name":"reply","role":"user"}'
+         WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"result_of":' || to_json(m.call_id) || ',"role":"assistant"}'
+         ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
+FROM m LEFT JOIN link ON m.conv_id = link.conv_id AND m.call_id = link.call_id
+"""
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.find_secrets(read(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
 
@@ -124,12 +161,15 @@ FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secrets": op5_secrets,
     "op6_sentence_pieces": op6_sentence_pieces,
     "op7_token_counts": op7_token_counts,
+    "op8_html_text": op8_html_text,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op9_jaccard_join": OP9_SQL}
