@@ -41,6 +41,8 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 MAX_WORDS = 500_000
 #: Ratio between the bounds of neighbouring size windows.
 WINDOW = 1.4
+#: Members of families, 16 bytes each, that are sent to all executors at most; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 #: Positions in a block of an index list.
 BLOCK = 4
 
@@ -190,15 +192,17 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     sets = written(tree.root, "roots")
 
     # Families: sets that share a signature, as stars around the least hash.
-    shared = base.select("h", F.explode("sigs").alias("sig"))
+    # One exchange of the signatures serves the choice of the least hash and the way back to it.
+    shared = base.select("h", F.explode("sigs").alias("sig")).repartition("sig")
     stars = shared.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("sig", "lo")
     family = components(shared.join(stars, "sig").select(F.col("h").alias("u"), F.col("lo").alias("v")))
     members = written(family.join(sets, family["node"] == sets["h"]).select("label", sets["node"]), "members")
     lead = members.groupBy("label").agg(F.min("node").alias("leader"))
-    members = members.join(lead, "label").select("node", "leader")
+    members = written(members.join(lead, "label").select("node", "leader"), "members")
 
     # The sets of all members, and their differences from their leaders.
-    texts = source.join(members, source["id"] == members["node"]).select("text", "node", "leader")
+    small = members.count() <= MAX_BROADCAST
+    texts = source.join(F.broadcast(members) if small else members, source["id"] == members["node"]).select("text", "node", "leader")
     payload = written(texts.mapInArrow(_payload(width), f"node {id_type}, leader {id_type}, s array<long>").withColumn("n", F.size("s")), "payload")
     leaders = payload.filter("node = leader").select("leader", F.col("s").alias("ls"), F.col("n").alias("ln"))
     # Foreign elements first, then missing ones: a total order that all members of a family share.
