@@ -2,7 +2,8 @@
 
 Each round hangs every node's larger neighbours, then its smaller ones, under the
 least neighbour.  The number of rounds grows with the logarithm of the number of nodes.
-Every round is written to the shared folder, so lost executors cost one round at most.
+Every round is written to the shared folder, so lost executors cost one round at most;
+the files of the round before go.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import forget, written
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -27,7 +28,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = written(small.distinct(), "edges")
+        old, e = e, written(small.distinct(), "edges")
+        forget(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == before:
             break
