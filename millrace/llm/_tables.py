@@ -16,6 +16,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Rows that go to a Python worker at once; texts of documents may be long.
+ARROW_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sends at most ``ARROW_ROWS`` rows to a Python worker at once, from now on, in sessions that leave the default.
+
+    The default of 10,000 rows holds tens of MB of texts several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder that the driver and all executors can read and write.
 
@@ -56,10 +70,11 @@ def spread_of(column: str | Column, ways: int = SPREAD) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(ways)).cast("int")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def join_spread(rows: DataFrame, found: DataFrame, key: str, by: str, ways: int = 64) -> DataFrame:
+    """``rows`` joined with ``found``, which has a row per key, without bringing a hot key's rows together.
 
-
-def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z alone."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    Rows are spread by the column ``by`` within a key; ``found`` goes to the spreads that occur.
+    """
+    spread = rows.withColumn("_spread", spread_of(by, ways))
+    few = spread.select(key, "_spread").distinct().join(found, key)
+    return spread.join(few, [key, "_spread"]).drop("_spread")
