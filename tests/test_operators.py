@@ -144,6 +144,15 @@ def test_trends(spark):
     assert trends.trend(d.filter("false"), "d", "v").count() == 0
 
 
+def test_trend_with_long_gaps(spark):
+    rows = [("2023-01-15", 1481000.0, "x"), ("2023-03-04", 3000000.0, "x"), ("2023-03-15", 274000.0, "y"), ("2023-07-22", 1868000.0, "x")]
+    d = frame(spark, "d string, v double, g string", rows).withColumn("d", F.col("d").cast("date"))
+    s = trends.trend_summary(d, "d", "v").first()
+    assert (s.total_change_percent, str(s.drop_period), s.drop_percent, str(s.rise_period)) == (26.13, "2023-02-28", -100.0, "2023-03-31")
+    c = trends.compare_periods(d, "d", "v").first()
+    assert (c.period_a, c.period_b, c.absolute_change, c.percent_change) == ("2023-03", "2023-07", -1406000.0, -42.94)
+
+
 def test_anomalies(spark):
     d = frame(spark, "v double", [(float(x),) for x in [1, 2, 3, 2, 1, 2, 3, 500]])
     assert column(anomaly.univariate(d, "v"), "v") == [500]
