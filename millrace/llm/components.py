@@ -1,7 +1,7 @@
 """Connected components by alternating stars (DataFrame functions only).
 
 Each round hangs every node's larger neighbours, then its smaller ones, under the
-least neighbour.  The number of rounds grows with the logarithm of the number of nodes.
+least neighbour.  A hub's neighbours are spread over tasks.  The number of rounds grows with the logarithm of the number of nodes.
 Every round is written to the shared folder, so lost executors cost one round at most;
 the files of the round before go.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import forget, written
+from ._tables import forget, join_spread, written
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -25,7 +25,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_spread(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         old, e = e, written(small.distinct(), "edges")

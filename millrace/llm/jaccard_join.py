@@ -6,6 +6,7 @@ when their sets' Jaccard similarity reaches the threshold.  The stages:
 1. One scan makes each document's set, its digest, and its part signatures: the sets
    of a size window are cut by hash into one part more than two linked sets can differ
    in, so linked sets agree in a whole part (pigeonhole).  Equal sets become one.
+   Spare parts make up for parts that are empty by chance.
 2. Sets that share a signature are joined into families (components of stars, never
    pairs).  Linked sets are always in one family, whose least set leads it.
 3. The answers for the leader are computed once; for a member only its difference from
@@ -25,6 +26,7 @@ No step collects a group into one task, and no pairs of a bucket are formed.
 from __future__ import annotations
 
 import hashlib
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -32,15 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import bounded_batches, forget, join_spread, written
 from ._tree import merge_runs
 from .components import components
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Words of which a task keeps the hash.
-MAX_WORDS = 500_000
+MAX_WORDS = 150_000
+#: Bits of a signature and of a set's number while families are sought.  Equal numbers of
+#: different sets or parts only make families larger; the fewer bits move, the better.
+SIGNATURE_BITS, SET_BITS = 56, 40
 #: Ratio between the bounds of neighbouring size windows.
-WINDOW = 1.4
+WINDOW = 1.6
 #: Members of families, 16 bytes each, that are sent to all executors at most; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Positions in a block of an index list.
@@ -85,24 +90,38 @@ class Windows:
         """How many elements two linked sets of ``total`` elements together may differ in at most."""
         return int(total * (1 - self.t) / (1 + self.t))
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(window, parts) for a set of n elements; windows in which only equal sets link are left out."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(window, parts, spare parts) for a set of n elements; windows in which only equal sets link are left out."""
         while self.bounds[-1] <= n * 2:
             self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * max(WINDOW, 1 / self.t))))
         w = int(np.searchsorted(self.bounds, n, side="right")) - 1
         found = []
         for k in (w, w + 1):
             if k == w or n >= self.t * self.bounds[k]:
-                parts = self.differ(2 * (self.bounds[k + 1] - 1)) + 1
+                parts, spare = self.parts(k)
                 if parts > 1:
-                    found.append((k, parts))
+                    found.append((k, parts, spare))
         return found
 
+    def parts(self, window: int) -> tuple[int, int]:
+        """The number of parts of a window, and how many of them linked sets agree in beyond one.
+
+        Large windows get spare parts, as many as their smallest sets leave empty.
+        """
+        least = self.differ(2 * (self.bounds[window + 1] - 1)) + 1
+        spare = 0
+        if least >= 24:
+            for _ in range(3):
+                parts = least + spare
+                empty = parts * math.exp(-float(self.t) * self.bounds[window] / parts)
+                spare = math.ceil(empty + 2 * math.sqrt(empty))
+        return least + spare, spare
+
 
 def signatures(h: np.ndarray, windows: Windows) -> np.ndarray:
     """The part signatures of a set."""
     out = []
-    for window, parts in windows.of(len(h)):
+    for window, parts, spare in windows.of(len(h)):
         seed = np.uint64((window + 1) * 0xD6E8FEB86659FD93 % 2**64)
         part = (h % np.uint64(parts)).astype(np.int64)
         mixed = _mix(h ^ seed)
@@ -111,13 +130,15 @@ def signatures(h: np.ndarray, windows: Windows) -> np.ndarray:
         number = _mix(np.arange(1, parts + 1, dtype=np.uint64) * seed)
         sig = _mix(total + number)
         empty = np.flatnonzero(np.bincount(part, minlength=parts) == 0)
-        if len(empty):
-            # An empty part says little: it counts only together with a part of a second cut.
+        sig = np.delete(sig, empty)
+        if len(empty) > spare:
+            # Linked sets agree in one part more than there are spare ones, so parts that are
+            # empty count only for sets with more of them, and only with a part of a second cut.
             again = np.zeros(parts, np.uint64)
             np.add.at(again, ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), _mix(mixed))
             second = _mix(again + number * np.uint64(3))
-            sig = np.concatenate([np.delete(sig, empty), *[_mix(second ^ number[e]) for e in empty]])
-        out.append(sig)
+            sig = np.concatenate([sig, *[_mix(second ^ number[e]) for e in empty]])
+        out.append(sig >> np.uint64(64 - SIGNATURE_BITS))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -133,7 +154,7 @@ def _scan(width: int, percent: int):
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
                     keys.append(key)
-                    h64.append(int.from_bytes(key[:8], "little", signed=True))
+                    h64.append(int.from_bytes(key[: SET_BITS // 8], "little"))
                     sig = signatures(s, windows) if key not in seen else np.zeros(0, np.uint64)
                     seen.add(key)
                     flat.append(sig)
@@ -178,9 +199,11 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
+    bounded_batches(docs.sparkSession)
     id_type = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    base = written(source.mapInArrow(_scan(width, percent), f"id {id_type}, n long, skey binary, h long, sigs array<long>"), "sets")
+    scanned = written(source.mapInArrow(_scan(width, percent), f"id {id_type}, n long, skey binary, h long, sigs array<long>"), "signatures")
+    base = written(scanned.drop("sigs"), "sets")
 
     # Equal sets become one, under their least identifier.
     tree = merge_runs(
@@ -193,12 +216,13 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     # Families: sets that share a signature, as stars around the least hash.
     # One exchange of the signatures serves the choice of the least hash and the way back to it.
-    shared = base.select("h", F.explode("sigs").alias("sig")).repartition("sig")
+    shared = scanned.select("h", F.explode("sigs").alias("sig")).repartition("sig")
     stars = shared.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("sig", "lo")
     family = components(shared.join(stars, "sig").select(F.col("h").alias("u"), F.col("lo").alias("v")))
+    forget(scanned)
     members = written(family.join(sets, family["node"] == sets["h"]).select("label", sets["node"]), "members")
     lead = members.groupBy("label").agg(F.min("node").alias("leader"))
-    members = written(members.join(lead, "label").select("node", "leader"), "members")
+    members = written(join_spread(members, lead, "label", "node").select("node", "leader"), "members")
 
     # The sets of all members, and their differences from their leaders.
     small = members.count() <= MAX_BROADCAST
