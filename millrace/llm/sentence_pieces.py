@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bounded_batches
+
 SPACE = "▁"
 #: Words that a worker keeps encoded; the store is emptied when it is full.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 NONE = np.int64(1) << 60
 
 
@@ -271,6 +273,7 @@ def encode_documents(
     other; memory is bounded by the longest text and ``MAX_WORDS`` known words.
     Repeated rows give repeated results; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded_text string"
 

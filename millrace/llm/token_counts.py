@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import shared_dir, written
+from ._tables import bounded_batches, shared_dir, written
 from ._tree import merge_runs
 
 CACHE_SCHEMA = "sha binary, n_tokens long"
@@ -169,6 +169,7 @@ def count_tokens(
     ignored; an empty table gives an empty one and leaves the cache as it is.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = f"{(cache or shared_dir(spark, f'token-counts-{uuid.uuid4().hex}')).rstrip('/')}/tokenizer={tokenizer_digest(kind, tokenizer)}"
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.unhex(F.sha2(text, 256)).alias("sha")
