@@ -16,18 +16,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-#: Rows that go to a Python worker at once; texts of documents may be long.
-ARROW_ROWS = 500
+#: Rows that go to a Python worker at once, and that the Parquet reader holds at once; texts may be long.
+ARROW_ROWS, PARQUET_ROWS = 500, 512
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Sends at most ``ARROW_ROWS`` rows to a Python worker at once, from now on, in sessions that leave the default.
+    """From now on holds few rows at once, in sessions that leave the defaults.
 
-    The default of 10,000 rows holds tens of MB of texts several times over.
+    Batches of thousands of rows hold tens of MB of texts or signatures several times over.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, default, rows in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, ARROW_ROWS),
+        ("spark.sql.parquet.columnarReaderBatchSize", 4096, PARQUET_ROWS),
+    ):
+        if int(spark.conf.get(key)) == default:
+            spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:

@@ -114,7 +114,7 @@ class Windows:
             for _ in range(3):
                 parts = least + spare
                 empty = parts * math.exp(-float(self.t) * self.bounds[window] / parts)
-                spare = math.ceil(empty + 2 * math.sqrt(empty))
+                spare = math.ceil(empty + 5 * math.sqrt(empty))  # beyond that a set is one in millions
         return least + spare, spare
 
 
