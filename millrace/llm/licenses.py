@@ -2,15 +2,18 @@
 
 Texts are reduced to lower-case words joined by single spaces.  A text without any
 keyword is done; otherwise each rule whose own keywords occur runs its regular
-expression.  Detections are taken by priority, then length, then place; one that lies
+expression.  Keywords are read off the expressions, so that no match is without one.  Detections are taken by priority, then length, then place; one that lies
 inside the interval of a detection already taken is suppressed, so "gnu lesser general
 public license" does not also report the general one, nor a title inside a notice.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from dataclasses import dataclass
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,43 +134,79 @@ def _versioned(name: str) -> str:
     return f"{m[1]}(?: licen[cs]e)?(?: version| v)? ?v?{version}(?: licen[cs]e)?"
 
 
+#: Strings that one set of alternatives holds at most; beyond it a part of the pattern is not followed.
+MAX_STRINGS = 64
+
+
+def _exact(part) -> set[str] | None:
+    """All strings that a parsed part of a pattern matches; None where that is not known."""
+    strings = {""}
+    for op, value in part:
+        name = str(op)
+        if name == "LITERAL":
+            more = {chr(value)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in value):
+            more = {chr(v) for _, v in value}
+        elif name == "SUBPATTERN":
+            more = _exact(value[3])
+        elif name == "BRANCH":
+            each = [_exact(x) for x in value[1]]
+            more = None if None in each else set().union(*each)
+        elif name == "MAX_REPEAT" and value[:2] == (0, 1):
+            more = _exact(value[2])
+            more = None if more is None else more | {""}
+        else:
+            more = None
+        if more is None or len(strings) * len(more) > MAX_STRINGS:
+            return None
+        strings = {x + y for x, y in itertools.product(strings, more)}
+    return strings
+
+
+@functools.lru_cache(maxsize=None)
+def keywords_of(pattern: str) -> tuple[bytes, ...]:
+    """Few strings of which every match of ``pattern``, with the spaces around it, holds one."""
+    part = list(_parser.parse(f" {pattern} "))
+    best: tuple[tuple, tuple[str, ...]] | None = None
+    for a in range(len(part)):
+        for b in range(a + 1, len(part) + 1):
+            strings = _exact(part[a:b])
+            if strings is None:
+                break
+            least = tuple(sorted(x for x in strings if not any(y != x and y in x for y in strings)))
+            letters = min(sum(map(str.isalpha, x)) for x in least)  # of rare strings
+            rank = (min(letters, 4), -len(least), min(map(len, least)))
+            if letters and (best is None or rank > best[0]):
+                best = rank, least
+    if best is None:
+        raise ValueError(f"no keyword in {pattern!r}")
+    return tuple(x.encode() for x in best[1])
+
+
 def build_rules() -> list[Rule]:
     """The ordered rules: each family in each form, then the notices; highest priority first."""
     rules = []
     for line in FAMILIES.strip().splitlines():
         label, name, spdx = (x.strip() for x in line.split(" | "))
-        cc = label.startswith("cc")
-        full = f"{name}(?: licen[cs]e)?" if cc or label in ("unlicense", "wtfpl") else _versioned(name)
-        words = tuple(w.encode() for w in sorted(set(re.findall(r"[a-z]{3,}", name)), key=len) if w not in ("license", "and", "the"))
-        keys = tuple(dict.fromkeys([*words, *([b"cc"] if cc else [])])) or (b"licen",)
+        full = f"{name}(?: licen[cs]e)?" if label.startswith("cc") or label in ("unlicense", "wtfpl") else _versioned(name)
         for form in FORMS.strip().splitlines():
             priority, score, text = (x.strip() for x in form.split(" | "))
             pattern = text.replace("{name}", full).replace("{spdx}", spdx)
+            keys = keywords_of(full if "{name}" in text else text.replace(" {spdx}", ""))  # both stand between spaces
             rules.append(Rule(label, int(priority), float(score), re.compile(f"(?<= )(?:{pattern})(?= )".encode()), keys))
     for line in NOTICES.strip().splitlines():
         label, priority, score, pattern = (x.strip() for x in line.split(" | "))
-        always = re.findall(r"[a-z]{5,}", re.sub(r"\(\?:[^)]*\)\??|\[[^]]*\]", " ", pattern))
-        keys = [max(always, key=len)] if always else re.findall(r"[a-z]{8,}", pattern)
-        rules.append(Rule(label, int(priority), float(score), re.compile(f"(?<= )(?:{pattern})(?= )".encode()), tuple(k.encode() for k in keys)))
+        rules.append(Rule(label, int(priority), float(score), re.compile(f"(?<= )(?:{pattern})(?= )".encode()), keywords_of(pattern)))
     return sorted(rules, key=lambda r: -r.priority)
 
 
-#: A text without any of these holds nothing that a rule or base phrase could match.
-PREFILTER = tuple(
-    f" {k}".encode()
-    for k in (
-        "licen,unlicen,spdx,mit ,apache ,cc ,cc0,creative commons,gnu ,gpl,lgpl,agpl,mpl ,bsd ,public domain,permission ,"
-        "redistribution ,proprietary ,all rights ,unauthorized ,under ,subject to ,free software,this is ,this software,"
-        "according to ,in accordance,simplified bsd,freebsd,isc ,zlib ,openssl ,postgresql ,wtfpl"
-    ).split(",")
-)
-
-
 class LicenseScanner:
     def __init__(self):
         self.rules = build_rules()
         self.base = [(b" " + k.encode() + b" ", v) for k, v in BASE.items()]
         self.keywords = sorted({k for r in self.rules for k in r.keywords})
+        #: A text without any of these holds no keyword.
+        self.prefilter = [k for k in self.keywords if not any(o != k and o in k for o in self.keywords)]
 
     def base_places(self, joined: bytes) -> list[tuple[int, str]]:
         """(offset, label) of every base phrase."""
@@ -181,7 +220,7 @@ class LicenseScanner:
 
     def detections(self, joined: bytes) -> list[tuple[int, int, Rule]]:
         """Detections that stay after suppression, in order of priority."""
-        if not any(k in joined for k in PREFILTER):
+        if not any(k in joined for k in self.prefilter):
             return []
         present = {k for k in self.keywords if k in joined}
         found = []

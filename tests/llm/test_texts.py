@@ -236,6 +236,40 @@ def test_rules_and_suppression():
     assert scan("we ate apples under the tree") == ""
 
 
+def examples(part, r):
+    """A string that a parsed pattern matches."""
+    out = ""
+    for op, value in part:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            out += chr(r.choice(value)[1])
+        elif name == "BRANCH":
+            out += examples(r.choice(value[1]), r)
+        elif name == "SUBPATTERN":
+            out += examples(value[3], r)
+        elif name == "MAX_REPEAT":
+            out += "".join(examples(value[2], r) for _ in range(r.randint(*value[:2])))
+        elif name not in ("ASSERT", "ASSERT_NOT"):
+            raise AssertionError(name)
+    return out
+
+
+def test_keywords_skip_no_rule():
+    gated, ungated, r = licenses.LicenseScanner(), licenses.LicenseScanner(), random.Random(3)
+    ungated.prefilter = ungated.keywords = [b" "]
+    ungated.rules = [licenses.Rule(x.label, x.priority, x.score, x.pattern, (b" ",)) for x in ungated.rules]
+    for rule in gated.rules:
+        for _ in range(20):
+            text = "aa " + examples(re._parser.parse(rule.pattern.pattern.decode()), r) + " zz"
+            assert rule.pattern.search(f" {text} ".encode()), text
+            assert gated.scan(text) == ungated.scan(text) and gated.scan(text)["labels"], (rule.label, text)
+    scan = lambda t: gated.scan(t)["labels"]
+    assert scan("Dual EPL 2.0 code") == "epl-2" and scan("code: CDDL 1.0") == "cddl-1"
+    assert scan("SPDX-License-Identifier: OFL-1.1") == "ofl-1" and scan("SPDX-License-Identifier: MS-PL") == "ms-pl"
+
+
 # -- toxicity ------------------------------------------------------------------------------------------
 
 
