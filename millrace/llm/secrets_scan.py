@@ -15,8 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 12 to 400 key-like characters, a digit among them; padding of base 64 belongs to it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,399}[0-9])[A-Za-z0-9+/_\-]{12,400}={0,2}"
+#: A candidate: a whole run of at least 12 key-like characters, a digit among them; padding of base 64 belongs to it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}"
 #: Characters of context on either side.
 CONTEXT = 48
 

@@ -119,3 +119,9 @@ def test_secrets_in_texts(spark):
     assert not got[4, h(sha)]
     assert {i for i, _ in got} == {1, 4, 5, 7, 8, None}
     assert secrets_scan.find_secrets(docs(spark, [])).count() == 0
+
+
+def test_long_runs_are_read_whole(spark):
+    runs = ["a1B2" * 300, "x" * 5000 + "7", "k9" * 250 + "first", "k9" * 250 + "second", "eyJ" + "Q4" * 100_000 + "=="]
+    out = secrets_scan.find_secrets(docs(spark, [(1, "key: " + " and ".join(runs) + " " + "w" * 3000)])).collect()
+    assert sorted((r.length, r.candidate_sha256) for r in out) == sorted((len(x), hashlib.sha256(x.encode()).hexdigest()) for x in runs)
