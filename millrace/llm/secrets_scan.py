@@ -107,25 +107,41 @@ def fit(findings: DataFrame) -> PipelineModel:
 
 
 def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, start, candidate, before, after): each distinct candidate of a text at its first place.
+    """(id, start, candidate, before, after): each candidate of a text at each of its places.
 
-    ``start`` counts characters from 0.
+    ``start`` counts characters from 0.  The text is cut at the candidates; the sums of the
+    lengths give the places, and as a candidate has 12 characters or more, the nine parts
+    on either side hold the context.
     """
-    text = F.col(text_col)
-    found = docs.select(F.col(id_col).alias("id"), text.alias("t")).filter(F.regexp_like("t", F.lit("[0-9]")))
-    found = found.select("id", "t", F.array_distinct(F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0))).alias("cs")).filter(F.size("cs") > 0)
-    each = found.select("id", "t", F.explode("cs").alias("candidate")).withColumn("at", F.expr("locate(candidate, t)"))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.regexp_like("t", F.lit(CANDIDATE)))
+    cut = found.select(
+        "id",
+        F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("cs"),
+        F.split("t", CANDIDATE, -1).alias("ps"),
+    )
+    # All parts in order, a candidate at every even place from 1; the offset of each candidate.
+    parts = cut.select(
+        "id",
+        "cs",
+        F.expr("flatten(zip_with(ps, cs, (p, c) -> array(p, coalesce(c, ''))))").alias("parts"),
+        F.expr(
+            "aggregate(zip_with(slice(ps, 1, size(cs)), cs, (p, c) -> struct(char_length(p) as p, char_length(c) as c)), "
+            "struct(0L as at, cast(array() as array<bigint>) as starts), "
+            "(a, x) -> struct(a.at + x.p + x.c as at, concat(a.starts, array(a.at + x.p)) as starts)).starts"
+        ).alias("starts"),
+    )
+    each = parts.select("id", "parts", "starts", F.posexplode("cs").alias("k", "candidate"))
     return each.select(
         "id",
-        (F.col("at") - 1).cast("long").alias("start"),
+        F.expr("starts[k]").alias("start"),
         "candidate",
-        F.expr(f"substr(t, greatest(at - {CONTEXT}, 1), at - greatest(at - {CONTEXT}, 1))").alias("before"),
-        F.expr(f"substr(t, at + char_length(candidate), {CONTEXT})").alias("after"),
+        F.expr(f"right(array_join(slice(parts, greatest(2 * k - 7, 1), least(2 * k + 1, 9)), ''), {CONTEXT})").alias("before"),
+        F.expr(f"substr(array_join(slice(parts, 2 * k + 3, 9), ''), 1, {CONTEXT})").alias("after"),
     )
 
 
 def find_secrets(docs: DataFrame, model: PipelineModel | None = None, text_col: str = "text", id_col: str = "doc_id", *, threshold: float = 0.5) -> DataFrame:
-    """One row per row and distinct candidate: id, start, length, candidate_sha256, score, secret.
+    """One row per row and place of a candidate: id, start, length, candidate_sha256, score, secret.
 
     The candidate itself is not given out.  Null and empty texts have no candidates.
     Texts are read whole.  Repeated rows give repeated findings; rows without an

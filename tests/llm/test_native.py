@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -125,3 +126,23 @@ def test_long_runs_are_read_whole(spark):
     runs = ["a1B2" * 300, "x" * 5000 + "7", "k9" * 250 + "first", "k9" * 250 + "second", "eyJ" + "Q4" * 100_000 + "=="]
     out = secrets_scan.find_secrets(docs(spark, [(1, "key: " + " and ".join(runs) + " " + "w" * 3000)])).collect()
     assert sorted((r.length, r.candidate_sha256) for r in out) == sorted((len(x), hashlib.sha256(x.encode()).hexdigest()) for x in runs)
+
+
+def test_every_place_of_a_candidate_is_judged(spark):
+    key, sha = "7602ad27cf5550de1c", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    text = f"commit {sha} is the one that we héllo 𝒳 token = \"{sha}\" then {sha}x password={key} {key}=={key}"
+    found = secrets_scan.find_secrets(docs(spark, [(1, text), (None, text)])).collect()
+    runs = [(m.start(), m.group()) for m in re.finditer(r"[A-Za-z0-9+/_-]{12,}={0,2}", text)]
+    want = sorted((i, at, len(c), hashlib.sha256(c.encode()).hexdigest()) for i in ("1", "None") for at, c in runs)
+    assert len(runs) == 6 and sorted((str(r.doc_id), r.start, r.length, r.candidate_sha256) for r in found) == want
+    secret = {r.start: r.secret for r in found if r.doc_id == 1}
+    assert not secret[runs[0][0]] and secret[runs[1][0]]
+
+
+def test_context_of_every_place(spark):
+    runs = [f"{k:x}a7" * (4 + k % 3) for k in range(40)]
+    text = "héad " + "".join(r + ("=" * (k % 3)) + " ,;é"[k % 4] * (1 + k % 5) for k, r in enumerate(runs)) + " tail"
+    for t in (text, text * 3, runs[9], "é" * 99 + runs[20], runs[3] + "=" + runs[4] + " " + runs[3]):
+        got = sorted((r.start, r.candidate, r.before, r.after) for r in secrets_scan.candidates(docs(spark, [(1, t)])).collect())
+        places = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{12,}={0,2}", t)]
+        assert got == [(a, t[a:b], t[max(0, a - 48) : a], t[b : b + 48]) for a, b in places] and got
