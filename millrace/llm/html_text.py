@@ -174,15 +174,14 @@ def features(blocks: list[Block], slots: Slots) -> np.ndarray:
     for i, b in enumerate(blocks):
         x[i, slots.path(b.path, b.names)] = 1
         words = b.text.split()
-        if len(words) <= 12:  # of longer blocks the words say little, their number does
-            for w in words:
-                x[i, PATH_DIM + slots.slot("word", w.lower().strip(".,:;!?"), WORD_DIM)] += 1 / len(words)
+        for w in words:
+            x[i, PATH_DIM + slots.slot("word", w.lower().strip(".,:;!?"), WORD_DIM)] += 1 / len(words)
         x[i, PATH_DIM + WORD_DIM :] = (
             min(1.0, np.log1p(len(words)) / 6),
             b.link,
             i / n,
             b.text[-1] in ".!?…\"”»",
-            sum(c in ".,;" for c in b.text[:400]) / 20,
+            sum(map(b.text.count, ".,;")) / len(words),
             b.text[:1].isupper(),
             bool(b.path) and b.path[-1] in ("h1", "h2", "h3", "h4"),
             1,
@@ -329,8 +328,27 @@ BAD = {
 SHORT = "home about contact login search menu news archive privacy terms help subscribe share reply next previous more tags shop cart sign up register".split()
 
 
-def _prose(r: random.Random, n: int) -> str:
-    words = ["".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n)]
+#: Words that tell other parts of pages from articles where names do not, and words that are common in both.
+TELLING = {
+    "notice": "cookies cookie consent accept privacy policy settings browser website experience agree partners preferences".split(),
+    "ad": "buy offer sale discount price free shipping order deal limited shop exclusive advertisement sponsored".split(),
+    "comments": "thanks thank great post reply comment agree nice please lol".split(),
+    "sidebar": "related popular recent posts read articles latest categories archives follow newsletter subscribe tags".split(),
+    "footer": "copyright rights reserved terms privacy policy contact inc ltd site powered".split(),
+}
+COMMON = (
+    "the of and to in a is that for it was on with as be at by this from are or an we you your our i not have they he she his her their which but "
+    "all been has had were will one more can about said so what when who out up people time new now my first two some other after there than then"
+).split()
+
+
+def _prose(r: random.Random, n: int, telling: list[str] | None = None) -> str:
+    def word() -> str:
+        if telling and r.random() < 0.4:
+            return r.choice(telling)
+        return r.choice(COMMON) if r.random() < 0.4 else "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4)))
+
+    words = [word() for _ in range(n)]
     for k in range(len(words)):
         if k == 0 or words[k - 1].endswith("."):
             words[k] = words[k].capitalize()
@@ -344,6 +362,12 @@ def _attr(r: random.Random, names: list[str]) -> str:
     return f' {r.choice(["class", "class", "id"])}="{name.replace(" ", r.choice([" ", "-", "_"]))}"'
 
 
+def _plain(r: random.Random) -> str:
+    """Another part of a page without names, which only its words tell."""
+    tag, telling = r.choice(["p", "div"]), TELLING[r.choice(sorted(TELLING))]
+    return "".join(f"<{tag}>{OTHER}{_prose(r, r.randint(8, 60), telling)}</{tag}>" for _ in range(r.randint(1, 2)))
+
+
 def _bad(r: random.Random, kind: str) -> str:
     tags, names = BAD[kind]
     tag = r.choice(tags)
@@ -406,6 +430,9 @@ def make_page(r: random.Random) -> str:
     after = [_bad(r, k) for k in ("comments", "sidebar", "ad", "share", "form", "menu", "notice") if r.random() < 0.35]
     if r.random() < 0.85:
         after.append(_bad(r, "footer"))
+    for part in (before, after):
+        if r.random() < 0.35:
+            part.append(_plain(r))
     r.shuffle(before)
     wrap = r.random() < 0.3
     head = f"<html><head><title>{_prose(r, 5)}</title><style>p{{margin:0}}</style></head><body>"

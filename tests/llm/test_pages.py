@@ -50,3 +50,19 @@ def test_whole_pages(spark):
     assert sorted((str(r.page_id), r.text) for r in out) == sorted([("1", want), ("1", want), ("None", want), ("2", ""), ("3", "")])
     assert all(r.n_chars == len(r.text) for r in out)
     assert H.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_words_and_marks_of_long_blocks_count():
+    block = lambda t: H.Block(t, ("body", "p"), (), 0.0)
+    x = H.features([block("one " * 200), block("two " * 200), block("word " * 200 + "one, " * 50 + "end.")], H.Slots())
+    words = slice(H.PATH_DIM, H.PATH_DIM + H.WORD_DIM)
+    assert np.allclose(x[:, words].sum(1), 1, atol=1e-3) and not np.allclose(x[0, words], x[1, words])
+    assert np.isclose(x[2, H.PATH_DIM + H.WORD_DIM + 4], 51 / 251, atol=1e-3)
+
+
+def test_words_tell_a_plain_notice():
+    story = "<p>" + "Berca dorel gifra hon injo kelu mernoor paqui rasenti unver, wo xiyor zacha thest. " * 4 + "</p>"
+    notice = "<p>We use cookies on our website: please accept our privacy policy and cookie settings, so that you agree to your browser preferences and our partners.</p>"
+    blocks = H.blocks_of(f"<html><body>{notice}<div class=article><h1>Berca dor</h1>{story * 4}</div></body></html>")
+    (p,) = H.probabilities(H.train(), [H.features(blocks, H.Slots())])
+    assert len(blocks[0].text.split()) > 12 and p[0] < 0.5 and (p[2:] > 0.5).all()
