@@ -34,10 +34,16 @@ MAX_CELLS = 24_000
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option datalist".split())
+RAW = frozenset("script style textarea title select option datalist".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr svg math noscript object iframe template".split()
+)
+# Blocks that end open graphics and formulas.
+BREAKING = frozenset(
+    "article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td "
+    "th thead tr ul".split()
 )
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>?")
@@ -54,7 +60,11 @@ class Block:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks with text, in page order; scripts, styles, comments and hidden parts are none."""
+    """The leaf blocks with text, in page order.
+
+    Scripts, styles, titles, form controls and comments are none.  Parts of graphics and
+    formulas stay in the line they stand in, a space between them.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
@@ -98,13 +108,29 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         at = m.end()
         closing, tag, rest = m[1], m[2].lower(), m[3]
+        foreign = next((k for k, (t, _) in enumerate(stack) if t in FOREIGN), None)
+        if foreign is not None and tag in BREAKING:
+            del stack[foreign:]
+        elif foreign is not None and tag not in RAW and tag not in INLINE:
+            pieces.append(" ")
+            if closing:
+                for k in range(len(stack) - 1, foreign, -1):
+                    if stack[k][0] == tag:
+                        del stack[k:]
+                        break
+            elif not rest.endswith("/"):
+                stack.append((tag, ()))
+            continue
         if closing:
             if tag in INLINE:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        del stack[k]
+                        if tag in FOREIGN:  # its open parts end with it
+                            del stack[k:]
+                        else:
+                            del stack[k]
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k][0] not in INLINE and tag not in FOREIGN:
                         break
                 continue
             flush()
@@ -113,6 +139,8 @@ def blocks_of(page: str | None) -> list[Block]:
                     del stack[k:]
                     break
             continue
+        if tag in RAW and foreign is not None and rest.endswith("/"):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end if stop is None and tag in ("script", "style", "title", "textarea") else at if stop is None else stop.end()

@@ -66,3 +66,12 @@ def test_words_tell_a_plain_notice():
     blocks = H.blocks_of(f"<html><body>{notice}<div class=article><h1>Berca dor</h1>{story * 4}</div></body></html>")
     (p,) = H.probabilities(H.train(), [H.features(blocks, H.Slots())])
     assert len(blocks[0].text.split()) > 12 and p[0] < 0.5 and (p[2:] > 0.5).all()
+
+
+def test_formulas_and_fallbacks_are_kept():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds</p><p>b</p>") == ["where x = 1 2 holds", "b"]
+    assert texts('<p>a <svg viewBox="0 0 1 1"/> b</p><p>c <math/> d</p><svg><path d="m"/><style/><title>i</title><text>t</text></svg><p>e') == ["a b", "c d", "t", "e"]
+    assert texts("<p>a<noscript>b</noscript></p><object data=x><p>c</p></object><iframe src=y>d</iframe><template><p>e</p></template>") == ["ab", "c", "d", "e"]
+    assert texts("<p>a <svg><g><text>b<p>c</p><div>d</div></svg>e") == ["a b", "c", "d", "e"]
+    assert texts("<form><textarea>a</textarea><select><option>b</select></form><script>c</script><p>d") == ["d"]
