@@ -125,28 +125,34 @@ def scan_documents(
     blocks = list(_blocks(items, width, max_pattern_words)) or [[]]
     if len(blocks) == 1:
         return source.mapInArrow(_scanning(blocks[0], spans), schema).withColumnRenamed("id", id_col)
-    # Several passes: each gives word ranges, united per row.
+    # Several passes: each gives the words hit, united per row; runs of them are the passages.
     row = F.monotonically_increasing_id()
     keyed = source.withColumn("row", row)
     passes = None
     for block in blocks:
-        part = keyed.mapInArrow(_ranges(block), f"id {id_type}, row long, n_words long, hits array<int>, items array<string>")
+        part = keyed.mapInArrow(
+            _ranges(block, spans), f"id {id_type}, row long, n_words long, hits array<struct<k:int,start:int,end:int>>, items array<string>"
+        )
         passes = part if passes is None else passes.unionByName(part)
     united = passes.groupBy("row").agg(
         F.first("id").alias("id"),
         F.max("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("_hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
     )
+    # The outer transform binds the array of words once.
+    passages = """flatten(transform(array(hits), h -> zip_with(
+        filter(h, (x, i) -> i = 0 or h[greatest(i - 1, 0)].k < x.k - 1),
+        filter(h, (x, i) -> i = size(h) - 1 or h[least(i + 1, size(h) - 1)].k > x.k + 1),
+        (x, y) -> struct(x.start as start, y.end as end))))"""
     return united.select(
         F.col("id").alias(id_col),
         "n_words",
-        "n_hit",
+        F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         "items",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.expr(passages if spans else "cast(array() as array<struct<start:int,end:int>>)").alias("spans"),
+        (F.size("hits") > 0).alias("contaminated"),
     )
 
 
@@ -185,7 +191,7 @@ def _scanning(block, with_spans: bool):
     return scan
 
 
-def _ranges(block):
+def _ranges(block, with_spans: bool):
     def scan(batches):
         scanner = WindowScanner(block)
         for batch in batches:
@@ -193,15 +199,17 @@ def _ranges(block):
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 ranges, found = scanner.scan(words)
+                places = word_spans(text) if ranges and with_spans else None
                 n_words.append(len(words))
-                hits.append([k for a, b in ranges for k in range(a, b)])
+                hit = [(k, *(places[k] if places else (0, 0))) for a, b in ranges for k in range(a, b)]
+                hits.append([dict(zip(("k", "start", "end"), x)) for x in hit])
                 items.append(sorted({scanner.items[i] for i in found}))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array(n_words, pa.int64()),
-                    pa.array(hits, pa.list_(pa.int32())),
+                    pa.array(hits, pa.list_(pa.struct([(n, pa.int32()) for n in ("k", "start", "end")]))),
                     pa.array(items, pa.list_(pa.string())),
                 ],
                 names=["id", "row", "n_words", "hits", "items"],

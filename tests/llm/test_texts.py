@@ -141,6 +141,22 @@ def test_windows_against_brute_force(spark, most):
             assert sum(any(s.start <= a and b <= s.end for s in x.spans) for a, b in inside) == x.n_hit
 
 
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_spans_in_one_pass_and_in_several(spark, most):
+    items = [(k, " ".join(f"w{(k * 7 + j) % 90}" for j in range(12 if k % 3 else 4))) for k in range(12)]
+    whole = "Hé, " + " - ".join(t.title() for _, t in items[:7]) + " é x " + items[8][1] + "! zz " + items[3][1]
+    rows = [(1, whole), (2, "nothing of it"), (3, None), (4, items[5][1]), (None, whole)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.scan_documents(docs(spark, rows), bench, max_pattern_words=most).collect()
+    lone = {str(r.doc_id): r.spans for r in decontaminate.scan_documents(docs(spark, rows), bench).collect()}
+    assert len(out) == 5 and {str(r.doc_id): r.spans for r in out} == lone and len(lone["1"]) > 1
+    for x in out:
+        t = dict(rows).get(x.doc_id) or ""
+        inside = [w.span() for w in WORD.finditer(lower(t))]
+        assert sum(any(s.start <= a and b <= s.end for s in x.spans) for a, b in inside) == x.n_hit
+    assert all(r.spans == [] for r in decontaminate.scan_documents(docs(spark, rows), bench, max_pattern_words=most, spans=False).collect())
+
+
 def test_empty_benchmark_and_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.scan_documents(docs(spark, [(1, "a b")]), none).collect()] == [0]
