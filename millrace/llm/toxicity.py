@@ -55,6 +55,16 @@ def fold(token: str) -> str:
     return word if word.isalpha() else word.translate(FOLD)
 
 
+def densest(places: list[int], reach: int) -> int:
+    """The most of the ascending places that lie within ``reach`` of the first of them."""
+    most = first = 0
+    for last, place in enumerate(places):
+        while place - places[first] > reach:
+            first += 1
+        most = max(most, last - first + 1)
+    return most
+
+
 class LexiconAutomaton:
     """Trie x Levenshtein automaton, made deterministic step by step.
 
@@ -195,7 +205,7 @@ class Scorer:
                 edits += 1 - q
             addressed += (1 - q) * any(t.strip(EDGES) in ADDRESS for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1])
         places = [i for i, _, _ in hits]
-        close = max(sum(1 for p in places[k : k + 20] if p - i <= 50) for k, i in enumerate(places)) if len(places) <= 2000 else 20
+        close = densest(places, 50)
         f[1:] = (
             min(1.0, abuse),
             math.log1p(abuse),

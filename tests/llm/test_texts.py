@@ -325,6 +325,18 @@ def test_automaton_against_edit_distance():
     assert auto.match("loweischaft")[0] == 2 and auto.match("lowe")[0] == 0
 
 
+def test_density_of_long_texts():
+    r = random.Random(4)
+    for n in (1, 5, 60, 400):
+        places = sorted(r.sample(range(3 * n + 20), n))
+        assert toxicity.densest(places, 50) == max(sum(0 <= p - i <= 50 for p in places) for i in places)
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(words=["zorble"]))
+    far = lambda n: scorer.features(("zorble " + "calm " * 60) * n)[7]
+    assert scorer.hits(["zorble", "calm"]) and far(1999) == far(2001) == 0
+    near = lambda n: scorer.features("zorble " * n)[7]
+    assert near(10) < near(30) < near(51) and near(51) == near(3000)
+
+
 def test_learning_scores_and_quotation(spark):
     r = random.Random(6)
     clean = texts(300, 11)
