@@ -58,10 +58,10 @@ def correlation_heatmap(df: DataFrame) -> DataFrame:
     return correlations(df, [c for c in numeric_columns(df) if c not in ids])
 
 
-def scatter(df: DataFrame, x: str, y: str, points: int = 5000) -> DataFrame:
-    """(x, y) of at most ``points`` rows, chosen by a hash of the pair."""
+def scatter(df: DataFrame, x: str, y: str, points: int | None = None) -> DataFrame:
+    """(x, y) of all rows that have both; of at most ``points``, chosen by a hash of the pair, if that is given."""
     rows = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")).dropna()
-    return rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(points)
+    return rows if points is None else rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(points)
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:

@@ -229,7 +229,7 @@ register("box_plot", lambda li: charts.box_plot(li, "l_quantity"), "lineitem", f
 register("box_plot_by_flag", lambda li: charts.box_plot(li, "l_quantity", "l_returnflag"), "lineitem", f"SELECT l_returnflag AS category, {_BOX} FROM lineitem GROUP BY 1")
 register("target_distribution", lambda x: charts.target_distribution(x, "toxic"), "labels", "SELECT CAST(toxic AS VARCHAR) AS value, count(*) AS count FROM labels GROUP BY 1")
 register("category_comparison", lambda o: charts.category_comparison(o, "o_orderstatus", "o_totalprice"), "orders", "SELECT o_orderstatus AS category, count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
-register("scatter_points", lambda p: charts.scatter(p, "p_size", "p_retailprice", 500), "part", None)
+register("scatter_points", lambda p: charts.scatter(p, "p_size", "p_retailprice"), "part", None)
 register("heatmap", lambda o: charts.correlation_heatmap(o.select("o_totalprice", F.dayofmonth("o_orderdate").alias("day"), F.month("o_orderdate").alias("month"))), "orders",
     " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({x}, {y}), 4) AS r FROM orders" for a, x, b, y in (
         ("o_totalprice", "o_totalprice", "day", "day(o_orderdate)"), ("o_totalprice", "o_totalprice", "month", "month(o_orderdate)"), ("day", "day(o_orderdate)", "month", "month(o_orderdate)"))))

@@ -123,7 +123,7 @@ def create_visualization(df: DataFrame, chart_type: str, column: str | None = No
     elif chart_type == "scatter_plot":
         _number(df, column_x, column_y)
         meta = {"correlation": df.agg(F.corr(f"`{column_x}`", f"`{column_y}`")).first()[0]}
-        data = charts.scatter(df, column_x, column_y)
+        data = charts.scatter(df, column_x, column_y, 5000)  # rows for the driver
     elif chart_type == "target_distribution":
         data = charts.target_distribution(df, target_column)
     elif chart_type == "category_comparison":

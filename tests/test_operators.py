@@ -294,3 +294,14 @@ def test_store(tmp_path):
     s.append(k, "user", "hi")
     assert s.datasets(k) == {"a": "3", "b": "2"} and s.recent(k) == [{"role": "user", "content": "hi"}]
     assert s.list()[0]["messages"] == 1 and s.delete(k) and s.get(k) is None
+
+
+def test_scatter_gives_all_points(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    many = part.crossJoin(spark.range(2000 // part.count() + 1))
+    out = charts.scatter(many, "p_size", "p_retailprice")
+    assert out.count() == many.dropna(subset=["p_size", "p_retailprice"]).count() > 500
+    from millrace.plans import catalogue
+
+    whole = catalogue.QUERIES["scatter_points"](spark, "/root/testdata/sf0.1")
+    assert whole.count() == spark.read.parquet("/root/testdata/sf0.1/part.parquet").dropna(subset=["p_size", "p_retailprice"]).count() > 500
