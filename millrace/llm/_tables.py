@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Ways in which the rows of one key are spread before they meet.
 SPREAD = 256
 
@@ -48,11 +50,17 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage.
 
-    The files outlive every executor, so a lost executor costs only its own tasks.
+    The files outlive every executor, so a lost executor costs only its own tasks.  The
+    shuffles of the write go when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out

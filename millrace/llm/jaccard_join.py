@@ -3,24 +3,28 @@
 Links are exact: a document's set holds its distinct shingles, and two documents link
 when their sets' Jaccard similarity reaches the threshold.  The stages:
 
-1. One scan makes each document's set, its digest, and its part signatures: the sets
-   of a size window are cut by hash into one part more than two linked sets can differ
-   in, so linked sets agree in a whole part (pigeonhole).  Equal sets become one.
-   Spare parts make up for parts that are empty by chance.
-2. Sets that share a signature are joined into families (components of stars, never
-   pairs).  Linked sets are always in one family, whose least set leads it.
-3. The answers for the leader are computed once; for a member only its difference from
-   the leader is kept.  For members X and Y of one leader the difference of X and Y is
-   the difference of their differences, so a member's answers follow from its leader's
-   without reading what it shares with the family.  Members within the bound of the
-   leader link through it and need no pair at all.
-4. Other pairs must share an element of their differences.  Index lists hold the first
-   k + 1 elements of each difference, elements foreign to the leader first.  A list is
-   cut into blocks by position, and a probe at position p reads only the blocks with a
-   position q for which p + q can stay within k; the rest are skipped whole.
-5. Candidate pairs are verified on the differences; links become components.
-
-No step collects a group into one task, and no pairs of a bucket are formed.
+1. A scan makes each document's set and its digest; equal sets become one.  It also
+   counts the frequent shingles.
+2. A second scan makes part signatures.  A hash cuts all shingles into an ordered list of
+   parts, frequent shingles into parts at its end, and a set signs its first K + 1 parts
+   that are not empty, K being the most that it can differ in from a set it links with.
+   Each differing element spoils one part, so linked sets agree in one that both sign.
+   Sets that share a signature are joined into families (stars, never pairs).
+3. Only differences are kept: each member's from its family's leader, then from the
+   family's consensus, whose elements are those that most members hold.  The difference of
+   X and Y is that of their differences, so answers for X follow from those of its family
+   without reading what they share.  The member with most slack answers for all that
+   the triangle rule links with it; no pairs are formed for them.
+4. Members without a link yet share out into sub-families by the most frequent element of
+   their differences; each has its own consensus, and its answers follow in turn.
+5. What is left must share elements of differences.  Index lists hold these, rarest first;
+   ``rest`` says how many follow at a position, and both sets' rests must cover the
+   overlap that a link needs.  Lists are cut into blocks by rest, and a probe reads only
+   blocks that can cover its need.  Lists hold a row per set already connected, not per
+   document, so connected documents are never paired; candidates are verified exactly.
+
+A key's rows are combined in the scan or spread, so none comes together in one task.
+Lists and blocks decide only what is looked at; no choice of them changes a link.
 """
 
 from __future__ import annotations
@@ -34,22 +38,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import bounded_batches, forget, join_spread, written
+from ._tables import bounded_batches, forget, join_spread, spread_of, written
 from ._tree import merge_runs
 from .components import components
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Words of which a task keeps the hash.
 MAX_WORDS = 150_000
-#: Bits of a signature and of a set's number while families are sought.  Equal numbers of
-#: different sets or parts only make families larger; the fewer bits move, the better.
-SIGNATURE_BITS, SET_BITS = 56, 40
+#: Bits of a signature.  Equal signatures of different parts only make families larger.
+SIGNATURE_BITS = 56
 #: Ratio between the bounds of neighbouring size windows.
 WINDOW = 1.6
-#: Members of families, 16 bytes each, that are sent to all executors at most; more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
-#: Positions in a block of an index list.
-BLOCK = 4
+#: Shingles or signatures that a scan gathers before it combines them.
+CHUNK = 2_000_000
+#: A shingle counts as frequent if it was seen so often, in chunks in which it was seen SEEN
+#: times or more; of more than MAX_FREQUENT, the most frequent (8 bytes each on every executor).
+FREQUENT, SEEN, MAX_FREQUENT = 40, 3, 500_000
+#: Rows of 24 bytes that are sent to all executors at most; more are joined by a shuffle.
+MAX_BROADCAST = 500_000
+#: Rounds of sub-families; how many members an element must have for a sub-family of its own.
+ROUNDS, SPLIT = 6, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,202 +87,409 @@ def shingle_set(text: str | None, width: int, hashes: _WordHash) -> np.ndarray:
     return np.unique(out)
 
 
-class Windows:
-    """Size windows: sets of n elements and their possible partners share a window and its number of parts."""
+def set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def __init__(self, percent: int):
+
+def set_number(key: bytes) -> int:
+    """63 bits of a set's digest, by which links name it."""
+    return int.from_bytes(key[:8], "little") >> 1
+
+
+class Cut:
+    """How sets are cut into parts: size windows, and the number of parts of each.
+
+    ``spare`` says how many times a window's parts are to be doubled, for windows in
+    which some set had too few parts that are not empty.
+    """
+
+    def __init__(self, percent: int, spare: dict[int, int] | None = None):
         self.t = Fraction(percent, 100)
         self.bounds = [1]
+        self.spare = spare or {}
 
     def differ(self, total: int) -> int:
         """How many elements two linked sets of ``total`` elements together may differ in at most."""
         return int(total * (1 - self.t) / (1 + self.t))
 
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(window, parts, spare parts) for a set of n elements; windows in which only equal sets link are left out."""
+    def windows(self, n: int) -> list[tuple[int, int]]:
+        """(window, parts to sign) for a set of n elements; those in which only equal sets link are left out."""
         while self.bounds[-1] <= n * 2:
             self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * max(WINDOW, 1 / self.t))))
         w = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        found = []
-        for k in (w, w + 1):
-            if k == w or n >= self.t * self.bounds[k]:
-                parts, spare = self.parts(k)
-                if parts > 1:
-                    found.append((k, parts, spare))
-        return found
-
-    def parts(self, window: int) -> tuple[int, int]:
-        """The number of parts of a window, and how many of them linked sets agree in beyond one.
-
-        Large windows get spare parts, as many as their smallest sets leave empty.
-        """
+        most = int(n / self.t)
+        found = [(w, self.differ(n + min(most, self.bounds[w + 1] - 1)) + 1)]
+        if most >= self.bounds[w + 1]:
+            found.append((w + 1, self.differ(n + most) + 1))
+        return [(w, need) for w, need in found if need > 1]
+
+    def parts(self, window: int) -> int:
+        """So many that a set hardly ever has too few that are not empty."""
         least = self.differ(2 * (self.bounds[window + 1] - 1)) + 1
-        spare = 0
-        if least >= 24:
-            for _ in range(3):
-                parts = least + spare
-                empty = parts * math.exp(-float(self.t) * self.bounds[window] / parts)
-                spare = math.ceil(empty + 5 * math.sqrt(empty))  # beyond that a set is one in millions
-        return least + spare, spare
-
-
-def signatures(h: np.ndarray, windows: Windows) -> np.ndarray:
-    """The part signatures of a set."""
-    out = []
-    for window, parts, spare in windows.of(len(h)):
-        seed = np.uint64((window + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        part = (h % np.uint64(parts)).astype(np.int64)
-        mixed = _mix(h ^ seed)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, mixed)
-        number = _mix(np.arange(1, parts + 1, dtype=np.uint64) * seed)
-        sig = _mix(total + number)
-        empty = np.flatnonzero(np.bincount(part, minlength=parts) == 0)
-        sig = np.delete(sig, empty)
-        if len(empty) > spare:
-            # Linked sets agree in one part more than there are spare ones, so parts that are
-            # empty count only for sets with more of them, and only with a part of a second cut.
-            again = np.zeros(parts, np.uint64)
-            np.add.at(again, ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), _mix(mixed))
-            second = _mix(again + number * np.uint64(3))
-            sig = np.concatenate([sig, *[_mix(second ^ number[e]) for e in empty]])
-        out.append(sig >> np.uint64(64 - SIGNATURE_BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _scan(width: int, percent: int):
+        return (1024 if least < 6 else least + least // 4 + 4 * math.isqrt(least) + 16) << self.spare.get(window, 0)
+
+    def sign(self, s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The signatures of a set, and the windows in which it has too few parts."""
+        if not self.windows(len(s)):
+            return np.zeros(0, np.uint64), []
+        late = np.zeros(len(s), bool)
+        if len(frequent):
+            at = np.searchsorted(frequent, s)
+            at[at == len(frequent)] = 0
+            late = frequent[at] == s
+        out, short = [], []
+        for window, need in self.windows(len(s)):
+            parts = self.parts(window)
+            part = (s % np.uint64(parts)).astype(np.int64) + np.where(late, parts, 0)
+            seed = np.uint64((window + 1) * 0xD6E8FEB86659FD93 % 2**64)
+            total = np.zeros(2 * parts, np.uint64)
+            np.add.at(total, part, _mix(s ^ seed))
+            full = np.flatnonzero(np.bincount(part, minlength=2 * parts))[:need]
+            if len(full) < need:
+                short.append(window)
+            out.append(_mix(total[full] + _mix((full + 1).astype(np.uint64) * seed)) >> np.uint64(64 - SIGNATURE_BITS))
+        return np.concatenate(out), short
+
+
+def _sliced(batches, rows: int = 500):
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+def _scan(width: int):
+    """Rows (id, th, n, skey, h) of documents, and rows without identifier of counts n of frequent shingles h."""
+
+    def counts(held):
+        token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
+        token, n = token[n >= SEEN], n[n >= SEEN]
+        return token.view(np.int64), n.astype(np.int64)
+
     def run(batches):
-        hashes, windows, seen = _WordHash(), Windows(percent), set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                n, keys, h64, flat, ends = [], [], [], [], [0]
-                for text in batch.column(1).to_pylist():
-                    s = shingle_set(text, width, hashes)
-                    key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    n.append(len(s))
-                    keys.append(key)
-                    h64.append(int.from_bytes(key[: SET_BITS // 8], "little"))
-                    sig = signatures(s, windows) if key not in seen else np.zeros(0, np.uint64)
+        hashes, held, seen, size = _WordHash(), [], set(), 0
+        like = None
+        for batch in _sliced(batches):
+            n, keys, numbers = [], [], []
+            for text in batch.column(2).to_pylist():
+                s = shingle_set(text, width, hashes)
+                key = set_key(s)
+                n.append(len(s))
+                keys.append(key)
+                numbers.append(set_number(key))
+                if key not in seen:
                     seen.add(key)
-                    flat.append(sig)
-                    ends.append(ends[-1] + len(sig))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(n, pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.array(h64, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64), pa.int64())),
-                    ],
-                    names=["id", "n", "skey", "h", "sigs"],
-                )
+                    held.append(s)
+                    size += len(s)
+            like = batch.schema
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())], names=["id", "th", "n", "skey", "h"]
+            )
+            if size >= CHUNK:
+                yield from frequent(like, held)
+                held, seen, size = [], set(), 0
+        if held:
+            yield from frequent(like, held)
+
+    def frequent(like, held):
+        token, n = counts(held)
+        for at in range(0, len(token), 10_000):
+            part = token[at : at + 10_000]
+            none = lambda kind: pa.nulls(len(part), kind)
+            yield pa.RecordBatch.from_arrays(
+                [none(like.field(0).type), none(pa.int64()), pa.array(n[at : at + 10_000]), none(pa.binary()), pa.array(part)], names=["id", "th", "n", "skey", "h"]
+            )
 
     return run
 
 
-def _payload(width: int):
+def _signed(width: int, percent: int, frequent, spare: dict[int, int]):
+    """Rows (sig, h), a signature once for the sets of a chunk.
+
+    The sets of a chunk that share a signature hang under the least of them, by a number
+    that only the two of them bear in place of a signature.  A window in which a set
+    has too few parts gives the row (window, -1).
+    """
+
+    def combined(sigs, owners, numbers, short):
+        sig, owner = np.concatenate(sigs), np.array(numbers, np.int64)[np.repeat(np.arange(len(owners)), owners)]
+        order = np.lexsort((owner, sig))
+        sig, owner = sig[order], owner[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+        least = owner[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sig) else owner
+        pairs = np.unique(np.stack([least[owner != least], owner[owner != least]], 1), axis=0)
+        bond = _mix(_mix(pairs[:, 0].view(np.uint64)) * np.uint64(3) + pairs[:, 1].view(np.uint64)) >> np.uint64(64 - SIGNATURE_BITS)
+        a = np.concatenate([sig[first], bond, bond, np.array(sorted(short), np.uint64)]).view(np.int64)
+        b = np.concatenate([owner[first], pairs[:, 0], pairs[:, 1], np.full(len(short), -1, np.int64)])
+        for at in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["sig", "h"])
+
+    def run(batches):
+        hashes, cut, often = _WordHash(), Cut(percent, spare), frequent.value
+        sigs, owners, numbers, short, seen, size = [], [], [], set(), set(), 0
+        for batch in _sliced(batches):
+            for text in batch.column(0).to_pylist():
+                s = shingle_set(text, width, hashes)
+                key = set_key(s)
+                if key in seen:
+                    continue
+                seen.add(key)
+                found, few = cut.sign(s, often)
+                short.update(few)
+                if len(found):
+                    sigs.append(found)
+                    owners.append(len(found))
+                    numbers.append(set_number(key))
+                    size += len(found)
+            if size >= CHUNK:
+                yield from combined(sigs, owners, numbers, short)
+                sigs, owners, numbers, short, seen, size = [], [], [], set(), set(), 0
+        if sigs or short:
+            yield from combined(sigs or [np.zeros(0, np.uint64)], owners, numbers, short)
+
+    return run
+
+
+def _sets(width: int):
+    """The sets of the rows (text, h, label) whose text has the number h."""
+
     def run(batches):
         hashes = _WordHash()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = [shingle_set(t, width, hashes).view(np.int64) for t in batch.column(0).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)])
-                rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), rows], names=["node", "leader", "s"])
+        for batch in _sliced(batches, 100):
+            for text, h, label in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingle_set(text, width, hashes)
+                if set_number(set_key(s)) == h:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([label], pa.int64()), pa.array([h], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.view(np.int64)))],
+                        names=["label", "h", "s"],
+                    )
 
     return run
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row with an identifier: id, n_shingles, component_id.
+def _differences(width: int):
+    """(h, label, n, d): the differences of the rows (text, h, label, s) from s."""
 
-    ``component_id`` is the least identifier reachable over links, itself included.
-    Null and empty texts and texts without words have an empty set and link with
-    nothing.  Texts of fewer words than a shingle are one shingle.  Rows with equal
-    sets are one set.  Rows without an identifier are left out, as nothing can refer to
-    them; a repeated identifier is one document in the components.  Identifiers must
-    be integers.  Other columns are ignored; an empty table gives an empty one.
+    def run(batches):
+        hashes = _WordHash()
+        for batch in _sliced(batches, 100):
+            hs, labels, n, flat, ends = [], [], [], [], [0]
+            leaders = batch.column(3)
+            for k, (text, h, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                s = shingle_set(text, width, hashes)
+                if set_number(set_key(s)) != h:  # another text of a repeated identifier
+                    continue
+                d = np.setxor1d(s, leaders[k].values.to_numpy(zero_copy_only=False).view(np.uint64), assume_unique=True)
+                hs.append(h)
+                labels.append(label)
+                n.append(len(s))
+                flat.append(d)
+                ends.append(ends[-1] + len(d))
+            if hs:
+                d = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(labels, pa.int64()), pa.array(n, pa.int64()), d], names=["h", "label", "n", "d"])
+
+    return run
+
+
+def _frequent(base: DataFrame) -> np.ndarray:
+    """The frequent shingles, sorted; at most MAX_FREQUENT."""
+    seen = base.filter("id is null").groupBy("h").agg(F.sum("n").alias("c")).filter(F.col("c") >= FREQUENT)
+    sizes = sorted(seen.groupBy(F.expr("bit_length(bin(c)) div 8").alias("bits")).count().collect(), reverse=True)
+    least, total = 64, 0
+    for bits, n in sizes:
+        if total + n > MAX_FREQUENT:
+            break
+        least, total = bits, total + n
+    tokens = seen.filter(F.col("c") >= F.lit(2 ** min(least - 1, 62))).select("h").toArrow().column(0).to_numpy()
+    return np.sort(tokens.astype(np.int64).view(np.uint64))
+
+
+def _families(source: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """(node, label) for the numbers of all sets that share a signature."""
+    spare: dict[int, int] = {}
+    while True:
+        signed = source.select("text").mapInArrow(_signed(width, percent, frequent, spare), "sig long, h long").repartition("sig")
+        # One exchange serves the choice of the least number and the way back to it.
+        stars = signed.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi or lo < 0").select("sig", "lo")
+        edges = signed.join(stars, "sig").select("h", F.when(F.col("lo") < 0, F.col("sig")).otherwise(F.col("lo")).alias("lo"))
+        edges = written(edges.filter("h <> lo").distinct(), "stars")
+        short = [r.lo for r in edges.filter("h < 0").select("lo").distinct().collect()]  # windows, some dozens at most
+        found = None if short else components(edges.select(F.col("h").alias("u"), F.col("lo").alias("v")))
+        forget(edges)
+        if found:
+            return found
+        for window in short:
+            spare[window] = spare.get(window, 0) + 1
+
+
+def _rebased(diff: DataFrame, num: int, den: int) -> DataFrame:
+    """The differences (h, label, n, d) from each label's consensus, with slack s, and the label's most slack with its owner.
+
+    s = num * n - den * size(d): sets with slacks of a sum of 0 or more link.
     """
+    sizes = diff.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    counts = diff.select("label", F.explode("d").alias("token")).groupBy("label", "token").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.join(sizes, "label").filter("2 * c > m").groupBy("label").agg(F.collect_list("token").alias("t"))
+    turn = sizes.join(most, "label", "left").select("label", F.coalesce("t", F.array().cast("array<bigint>")).alias("t"))
+    moved = join_spread(diff, turn, "label", "h").select("h", "label", "n", F.concat(F.array_except("d", "t"), F.array_except("t", "d")).alias("d"))
+    moved = written(moved.withColumn("s", F.expr(f"n * {num} - size(d) * {den}")), "rebased")
+    best = moved.groupBy("label").agg(F.max(F.struct("s", "h")).alias("b"))
+    out = written(join_spread(moved, best.select("label", F.col("b.s").alias("bs"), F.col("b.h").alias("bh")), "label", "h"), "round")
+    forget(moved)
+    return out
+
+
+def _promising(rows: DataFrame, den: int) -> DataFrame:
+    """``rows`` without those whose difference shares too few elements with others of the label for any link, with the shared ones, rarest first."""
+    each = rows.select("h", "label", F.explode("d").alias("token"))
+    often = each.groupBy("label", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = each.join(often, ["label", "token"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+    return rows.join(shared, "h").filter(f"2 * {den} * size(shared) >= -(s + bs)")
+
+
+def _derived_links(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The members rebased on their families' consensus, and tables (u, v) of links that follow without pairs."""
+    first, links, group, tables = None, [], diff, []
+    for _ in range(ROUNDS):
+        rows = _rebased(group, num, den)
+        tables.append(rows)
+        found = written(rows.filter("s + bs >= 0 and h <> bh").select(F.col("h").alias("u"), F.col("bh").alias("v")), "links")
+        links.append(found)
+        first = first or rows
+        open_ = written(_promising(rows.filter("s + bs < 0"), den), "open")
+        tables.append(open_)
+        # The most frequent element of its difference names the sub-family of a member.
+        group = open_.withColumn("top", F.element_at("shared", -1)).filter(f"top.c >= {SPLIT}").select("h", F.xxhash64("label", "top.token").alias("label"), "n", "d")
+        if group.isEmpty():
+            break
+    for table in tables[1:]:
+        forget(table)
+    return first, links
+
+
+def _paired_links(rows: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links between members of ``rows`` that ``comps`` does not connect, with one of them open at least."""
+    rows = rows.join(comps.select(F.col("node").alias("h"), F.col("label").alias("comp")), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    rows = rows.withColumn("open", F.expr("s + bs < 0"))
+    apart = rows.groupBy("label").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.when(F.col("open"), F.col("s"))).alias("os"))
+    rows = join_spread(rows, apart.filter("c0 < c1 and os is not null").select("label", "os"), "label", "h")
+    # The most slack of a partner: any for an open member, an open one's for others.
+    rows = rows.withColumn("bs", F.when(F.col("open"), F.col("bs")).otherwise(F.col("os"))).drop("os", "bh")
+    rows = written(_promising(rows, den).withColumn("need", F.expr(f"cast(ceil(-(s + bs) / (2.0 * {den})) as int)")), "apart")
+    entries = rows.select("h", "label", "comp", "open", "s", "need", F.posexplode("shared").alias("p", "x"), F.size("shared").alias("k"))
+    entries = entries.select("h", "label", "comp", "open", "s", "need", F.col("x.token").alias("token"), F.expr("k - p").alias("rest")).filter("rest >= need")
+    entries = written(entries.withColumn("block", F.expr("cast(floor(log2(rest)) as int)")), "entries")
+    # A row per component, position block and list; a probe reads the blocks that can cover its need.
+    lists = entries.groupBy("label", "token", "block", "comp").agg(F.max("rest").alias("rest"), F.max("s").alias("s"), F.max("open").alias("open"))
+    probes = entries.filter("open").groupBy("label", "token", "comp").agg(F.max("rest").alias("rest"), F.max("s").alias("s"), F.min("need").alias("need"))
+    ends = lists.groupBy("label", "token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("block").alias("last")).filter("c0 < c1")
+    probes = probes.join(ends, ["label", "token"]).withColumn("block", F.explode(F.expr("sequence(least(cast(floor(log2(greatest(need, 1))) as int), last), last)")))
+    a, b = probes.alias("a"), lists.alias("b")
+    met = (
+        a.join(b, ["label", "token", "block"])
+        .filter(f"a.comp <> b.comp and (not b.open or a.comp < b.comp) and 2 * {den} * least(a.rest, b.rest) >= -(a.s + b.s)")
+        .select("label", "token", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
+        .distinct()
+    )
+    one = entries.select("label", "token", F.col("comp").alias("ca"), F.col("h").alias("u"), F.col("s").alias("su"), F.col("rest").alias("ru"), F.col("open").alias("ou"))
+    two = entries.select("label", "token", F.col("comp").alias("cb"), F.col("h").alias("v"), F.col("s").alias("sv"), F.col("rest").alias("rv"), F.col("open").alias("ov"))
+    pairs = (
+        met.join(one, ["label", "token", "ca"])
+        .join(two, ["label", "token", "cb"])
+        .filter(f"(ou or ov) and 2 * {den} * least(ru, rv) >= -(su + sv)")
+        .select("u", "v")
+        .distinct()
+    )
+    x = rows.select(F.col("h").alias("u"), F.col("d").alias("du"), F.col("n").alias("nu"))
+    y = rows.select(F.col("h").alias("v"), F.col("d").alias("dv"), F.col("n").alias("nv"))
+    exact = f"(size(du) + size(dv) - 2 * size(array_intersect(du, dv))) * {den} <= (nu + nv) * {num}"
+    found = written(pairs.join(x, "u").join(y, "v").filter(exact).select("u", "v"), "links")
+    forget(rows)
+    forget(entries)
+    return found
+
+
+def _groups(docs: DataFrame, text_col: str, id_col: str, width: int, percent: int) -> DataFrame:
+    """(id, th, n, component_id), ``th`` a hash of the text."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     id_type = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    scanned = written(source.mapInArrow(_scan(width, percent), f"id {id_type}, n long, skey binary, h long, sigs array<long>"), "signatures")
-    base = written(scanned.drop("sigs"), "sets")
+    hashed = source.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    base = written(hashed.mapInArrow(_scan(width), f"id {id_type}, th long, n long, skey binary, h long"), "sets")
+    frequent = spark.sparkContext.broadcast(_frequent(base))
+    base = base.filter("id is not null")
 
     # Equal sets become one, under their least identifier.
-    tree = merge_runs(
-        base.filter("n > 0").select("id", "n", "skey", "h"),
-        ["skey", "h", "n"],
-        "id",
-        {"node": (F.min("id"), F.min)},
-    )
+    tree = merge_runs(base.filter("n > 0").select("id", "th", "n", "skey", "h"), ["skey", "h", "n"], "id", {"node": (F.min("id"), F.min)})
     sets = written(tree.root, "roots")
 
-    # Families: sets that share a signature, as stars around the least hash.
-    # One exchange of the signatures serves the choice of the least hash and the way back to it.
-    shared = scanned.select("h", F.explode("sigs").alias("sig")).repartition("sig")
-    stars = shared.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("sig", "lo")
-    family = components(shared.join(stars, "sig").select(F.col("h").alias("u"), F.col("lo").alias("v")))
-    forget(scanned)
-    members = written(family.join(sets, family["node"] == sets["h"]).select("label", sets["node"]), "members")
-    lead = members.groupBy("label").agg(F.min("node").alias("leader"))
-    members = written(join_spread(members, lead, "label", "node").select("node", "leader"), "members")
-
-    # The sets of all members, and their differences from their leaders.
-    small = members.count() <= MAX_BROADCAST
-    texts = source.join(F.broadcast(members) if small else members, source["id"] == members["node"]).select("text", "node", "leader")
-    payload = written(texts.mapInArrow(_payload(width), f"node {id_type}, leader {id_type}, s array<long>").withColumn("n", F.size("s")), "payload")
-    leaders = payload.filter("node = leader").select("leader", F.col("s").alias("ls"), F.col("n").alias("ln"))
-    # Foreign elements first, then missing ones: a total order that all members of a family share.
-    diff = payload.filter("node <> leader").join(leaders, "leader").select(
-        "node", "leader", "n", "ln", F.concat(F.sort_array(F.array_except("s", "ls")), F.sort_array(F.array_except("ls", "s"))).alias("d")
-    )
+    family = _families(source, width, percent, frequent)
+    members = written(family.join(sets, family["node"] == sets["h"]).select("label", "h", sets["node"]), "members")
+    forget(family)
+    lead = members.groupBy("label").agg(F.min("h").alias("lead"))
+    leaders = members.join(lead, "label").filter("h = lead").select("label", "h", "node")
+
+    def texts(of: DataFrame) -> DataFrame:
+        of = F.broadcast(of) if of.count() <= MAX_BROADCAST else of
+        return source.join(of, source["id"] == of["node"]).drop("id", "node")
+
+    leads = written(texts(leaders).select("text", "h", "label").mapInArrow(_sets(width), "label long, h long, s array<long>").dropDuplicates(["label"]).select("label", "s"), "leaders")
+    # The leader's set goes to the spreads of its members, never all members to it.
+    spread = members.withColumn("way", spread_of("h", 64))
+    sent = spread.select("label", "way").distinct().join(leads, "label")
+    near = texts(spread).join(sent, ["label", "way"]).select("text", "h", "label", "s")
+    diff = written(near.mapInArrow(_differences(width), "h long, label long, n long, d array<long>"), "differences")
+    forget(leads)
+    if diff.count() > members.count():  # rows that repeat identifier and text
+        diff = written(diff.dropDuplicates(["h"]), "differences")
+    forget(members)
+
     ratio = Fraction(100 - percent, 100 + percent)
     num, den = ratio.numerator, ratio.denominator
-    within = f"size(d) * {den} <= (n + ln) * {num}"
-    # The most that a set may differ in from any set it links with.
-    reach = f"cast(n * {100 - percent} div {percent} as int)"
-    diff = written(diff.withColumn("linked", F.expr(within)).withColumn("reach", F.expr(reach)), "differences")
-    star_links = diff.filter("linked").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-
-    # Index lists of the differences, in blocks by position.
-    entries = diff.select(
-        "node", "leader", "n", "linked", "reach", F.size("d").alias("size"), F.posexplode(F.slice("d", F.lit(1), F.col("reach") + 1)).alias("p", "token")
-    ).withColumn("block", F.expr(f"p div {BLOCK}"))
-    probe = entries.filter("not linked and p <= reach").withColumn("block", F.explode(F.expr(f"sequence(0L, cast((reach - p) div {BLOCK} as bigint))")))
-    a, b = probe.alias("a"), entries.alias("b")
-    pairs = (
-        a.join(b, ["leader", "token", "block"])
-        .filter("a.node <> b.node and (b.linked or a.node < b.node)")
-        .filter(f"(a.p + b.p) * {den} <= (a.n + b.n) * {num} and abs(a.size - b.size) * {den} <= (a.n + b.n) * {num} and abs(a.n - b.n) * {den} <= (a.n + b.n) * {num}")
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        .distinct()
-    )
-    x = diff.select(F.col("node").alias("u"), F.col("d").alias("du"), F.col("n").alias("nu"))
-    y = diff.select(F.col("node").alias("v"), F.col("d").alias("dv"), F.col("n").alias("nv"))
-    verified = (
-        pairs.join(x, "u")
-        .join(y, "v")
-        .filter(f"(size(du) + size(dv) - 2 * size(array_intersect(du, dv))) * {den} <= (nu + nv) * {num}")
-        .select("u", "v")
-    )
-    links = written(star_links.unionByName(verified).distinct(), "links")
+    rows, links = _derived_links(diff, num, den)
+    forget(diff)
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    comps = components(edges)
+    more = _paired_links(rows, comps, num, den)
+    forget(rows)
+    if not more.isEmpty():
+        comps = components(edges.unionByName(more))
+    for table in [*links, more]:
+        forget(table)
+
+    linked = comps.join(sets, comps["node"] == sets["h"]).select("label", "h", sets["node"])
+    least = linked.groupBy("label").agg(F.min("node").alias("component_id"))
+    root = sets.join(join_spread(linked, least, "label", "h").select("h", "component_id"), "h", "left")
+    root = root.select("skey", "h", "n", F.coalesce("component_id", "node").alias("component_id"))
+    found = tree.down(root).select("id", "th", "n", "component_id")
+    return found.unionByName(base.filter("n = 0").select("id", "th", "n", F.col("id").alias("component_id")))
 
-    labels = components(links)
-    root = sets.join(labels, "node", "left").select("skey", "h", "n", F.coalesce("label", "node").alias("component_id"))
-    linked = tree.down(root).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = base.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone)
+
+def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, width: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row with an identifier: id, n_shingles, component_id.
+
+    ``component_id`` is the least identifier reachable over links, itself included.
+    Null and empty texts and texts without words have an empty set and link with
+    nothing.  Texts of fewer words than a shingle are one shingle.  Rows with equal
+    sets are one set.  Rows without an identifier are left out, as nothing can refer to
+    them; rows that share an identifier are documents of their own.  Other columns are
+    ignored; an empty table gives an empty one.
+    """
+    found = _groups(docs, text_col, id_col, width, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def drop_similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def drop_similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, width: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` of which one per component stays, that with the least identifier, with all columns.
 
-    Rows without an identifier stay.
+    Rows without an identifier stay; of rows that share one, each stays or goes by its own text.
     """
-    gone = similar_groups(docs, text_col, id_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = _groups(docs, text_col, id_col, width, percent)
+    gone = written(found.filter("id <> component_id").select(F.col("id").alias("_gone"), F.col("th").alias("_th")).distinct(), "gone")
+    same = (docs[id_col] == gone["_gone"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_th"])
+    return docs.join(gone, same, "left_anti")
