@@ -29,6 +29,7 @@ Lists and blocks decide only what is looked at; no choice of them changes a link
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from fractions import Fraction
@@ -42,18 +43,15 @@ from ._tables import bounded_batches, forget, join_spread, spread_of, written
 from ._tree import merge_runs
 from .components import components
 
-_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-#: Words of which a task keeps the hash.
-MAX_WORDS = 150_000
 #: Bits of a signature.  Equal signatures of different parts only make families larger.
 SIGNATURE_BITS = 56
 #: Ratio between the bounds of neighbouring size windows.
 WINDOW = 1.6
 #: Shingles or signatures that a scan gathers before it combines them.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 #: A shingle counts as frequent if it was seen so often, in chunks in which it was seen SEEN
 #: times or more; of more than MAX_FREQUENT, the most frequent (8 bytes each on every executor).
-FREQUENT, SEEN, MAX_FREQUENT = 40, 3, 500_000
+FREQUENT, SEEN, MAX_FREQUENT = 20, 3, 500_000
 #: Rows of 24 bytes that are sent to all executors at most; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
 #: Rounds of sub-families; how many members an element must have for a sub-family of its own.
@@ -66,25 +64,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+class _WordHash:
+    """Hashes of the words of a text: polynomials over random values of their bytes, two of them, mixed.
+
+    A-Z count as a-z.  Sums up to each byte are taken once; a word's polynomial is a difference of two.
+    """
+
+    def __init__(self):
+        self.word = np.ones(256, bool)
+        self.word[[0x20, *range(0x09, 0x0E)]] = False
+        byte = np.arange(256, dtype=np.uint64)
+        byte[0x41:0x5B] += np.uint64(32)
+        self.values = [_mix(byte + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in (1, 2)]
+        self.bases = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        def powers(x: int) -> np.ndarray:
+            out = np.full(n, x, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
+
+        self.power = [(powers(b), powers(pow(b, -1, 2**64))) for b in self.bases]
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.zeros(0, np.uint8)
+        if len(b) > len(self.power[0][0]):
+            self._grow(2 * len(b))
+        edge = np.diff(self.word[b].astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        out = (end - start).astype(np.uint64)
+        for values, (power, inverse) in zip(self.values, self.power):
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(values[b] * power[: len(b)], out=sums[1:])
+            out = _mix(out + (sums[end] - sums[start]) * inverse[start])
+        return out
 
 
 def shingle_set(text: str | None, width: int, hashes: _WordHash) -> np.ndarray:
     """The sorted hashes of the distinct shingles of a text."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
+    h = hashes(text)
+    if not len(h):
+        return h
+    n = min(width, len(h))
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(words) - n + 1 + k])
-    return np.unique(out)
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -104,20 +131,20 @@ class Cut:
     """
 
     def __init__(self, percent: int, spare: dict[int, int] | None = None):
-        self.t = Fraction(percent, 100)
+        self.percent = percent
         self.bounds = [1]
         self.spare = spare or {}
 
     def differ(self, total: int) -> int:
         """How many elements two linked sets of ``total`` elements together may differ in at most."""
-        return int(total * (1 - self.t) / (1 + self.t))
+        return total * (100 - self.percent) // (100 + self.percent)
 
     def windows(self, n: int) -> list[tuple[int, int]]:
         """(window, parts to sign) for a set of n elements; those in which only equal sets link are left out."""
         while self.bounds[-1] <= n * 2:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * max(WINDOW, 1 / self.t))))
-        w = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        most = int(n / self.t)
+            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * max(WINDOW, 100 / self.percent))))
+        w = bisect.bisect_right(self.bounds, n) - 1
+        most = n * 100 // self.percent
         found = [(w, self.differ(n + min(most, self.bounds[w + 1] - 1)) + 1)]
         if most >= self.bounds[w + 1]:
             found.append((w + 1, self.differ(n + most) + 1))
@@ -130,7 +157,8 @@ class Cut:
 
     def sign(self, s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The signatures of a set, and the windows in which it has too few parts."""
-        if not self.windows(len(s)):
+        windows = self.windows(len(s))
+        if not windows:
             return np.zeros(0, np.uint64), []
         late = np.zeros(len(s), bool)
         if len(frequent):
@@ -138,7 +166,7 @@ class Cut:
             at[at == len(frequent)] = 0
             late = frequent[at] == s
         out, short = [], []
-        for window, need in self.windows(len(s)):
+        for window, need in windows:
             parts = self.parts(window)
             part = (s % np.uint64(parts)).astype(np.int64) + np.where(late, parts, 0)
             seed = np.uint64((window + 1) * 0xD6E8FEB86659FD93 % 2**64)
@@ -308,7 +336,8 @@ def _families(source: DataFrame, width: int, percent: int, frequent) -> DataFram
     """(node, label) for the numbers of all sets that share a signature."""
     spare: dict[int, int] = {}
     while True:
-        signed = source.select("text").mapInArrow(_signed(width, percent, frequent, spare), "sig long, h long").repartition("sig")
+        signed = source.select("text").mapInArrow(_signed(width, percent, frequent, spare), "sig long, h long")
+        signed = signed.filter("sig is not null and h is not null").repartition("sig")
         # One exchange serves the choice of the least number and the way back to it.
         stars = signed.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi or lo < 0").select("sig", "lo")
         edges = signed.join(stars, "sig").select("h", F.when(F.col("lo") < 0, F.col("sig")).otherwise(F.col("lo")).alias("lo"))
@@ -376,8 +405,9 @@ def _paired_links(rows: DataFrame, comps: DataFrame, num: int, den: int) -> Data
     # The most slack of a partner: any for an open member, an open one's for others.
     rows = rows.withColumn("bs", F.when(F.col("open"), F.col("bs")).otherwise(F.col("os"))).drop("os", "bh")
     rows = written(_promising(rows, den).withColumn("need", F.expr(f"cast(ceil(-(s + bs) / (2.0 * {den})) as int)")), "apart")
-    entries = rows.select("h", "label", "comp", "open", "s", "need", F.posexplode("shared").alias("p", "x"), F.size("shared").alias("k"))
-    entries = entries.select("h", "label", "comp", "open", "s", "need", F.col("x.token").alias("token"), F.expr("k - p").alias("rest")).filter("rest >= need")
+    prefix = F.posexplode(F.expr("slice(shared, 1, size(shared) - need + 1)")).alias("p", "x")
+    entries = rows.select("h", "label", "comp", "open", "s", "need", prefix, F.size("shared").alias("k"))
+    entries = entries.select("h", "label", "comp", "open", "s", "need", F.col("x.token").alias("token"), F.expr("k - p").alias("rest"))
     entries = written(entries.withColumn("block", F.expr("cast(floor(log2(rest)) as int)")), "entries")
     # A row per component, position block and list; a probe reads the blocks that can cover its need.
     lists = entries.groupBy("label", "token", "block", "comp").agg(F.max("rest").alias("rest"), F.max("s").alias("s"), F.max("open").alias("open"))
