@@ -6,10 +6,11 @@ when their sets' Jaccard similarity reaches the threshold.  The stages:
 1. A scan makes each document's set and its digest; equal sets become one.  It also
    counts the frequent shingles.
 2. A second scan makes part signatures.  A hash cuts all shingles into an ordered list of
-   parts, frequent shingles into parts at its end, and a set signs its first K + 1 parts
+   parts, frequent shingles into parts at its end, and a set signs its first K + c parts
    that are not empty, K being the most that it can differ in from a set it links with.
-   Each differing element spoils one part, so linked sets agree in one that both sign.
-   Sets that share a signature are joined into families (stars, never pairs).
+   Each differing element spoils one part, so linked sets agree in c parts that both sign.
+   Sets that share fewer than c signatures with any others link with nothing; the rest is
+   joined by shared signatures into families (stars, never pairs).
 3. Only differences are kept: each member's from its family's leader, then from the
    family's consensus, whose elements are those that most members hold.  The difference of
    X and Y is that of their differences, so answers for X follow from those of its family
@@ -36,7 +37,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import bounded_batches, forget, join_spread, spread_of, written
@@ -49,6 +50,8 @@ SIGNATURE_BITS = 56
 WINDOW = 1.6
 #: Shingles or signatures that a scan gathers before it combines them.
 CHUNK = 4_000_000
+#: Sets of a chunk that may share a signature before one of them stands for all.
+CROWD = 64
 #: A shingle counts as frequent if it was seen so often, in chunks in which it was seen SEEN
 #: times or more; of more than MAX_FREQUENT, the most frequent (8 bytes each on every executor).
 FREQUENT, SEEN, MAX_FREQUENT = 20, 3, 500_000
@@ -123,6 +126,11 @@ def set_number(key: bytes) -> int:
     return int.from_bytes(key[:8], "little") >> 1
 
 
+def _rows(columns: list[np.ndarray], names: list[str], most: int = 50_000):
+    for at in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + most]) for c in columns], names=names)
+
+
 class Cut:
     """How sets are cut into parts: size windows, and the number of parts of each.
 
@@ -140,7 +148,7 @@ class Cut:
         return total * (100 - self.percent) // (100 + self.percent)
 
     def windows(self, n: int) -> list[tuple[int, int]]:
-        """(window, parts to sign) for a set of n elements; those in which only equal sets link are left out."""
+        """(window, K + 1) for a set of n elements; windows in which only equal sets link are left out."""
         while self.bounds[-1] <= n * 2:
             self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * max(WINDOW, 100 / self.percent))))
         w = bisect.bisect_right(self.bounds, n) - 1
@@ -152,8 +160,23 @@ class Cut:
 
     def parts(self, window: int) -> int:
         """So many that a set hardly ever has too few that are not empty."""
-        least = self.differ(2 * (self.bounds[window + 1] - 1)) + 1
-        return (1024 if least < 6 else least + least // 4 + 4 * math.isqrt(least) + 16) << self.spare.get(window, 0)
+        most = self.least(window) + self.extra(window)
+        return (1024 if most < 6 else most + most // 4 + 4 * math.isqrt(most) + 16) << self.spare.get(window, 0)
+
+    def least(self, window: int) -> int:
+        return self.differ(2 * (self.bounds[window + 1] - 1)) + 1
+
+    def extra(self, window: int) -> int:
+        """Parts that sets of a window sign beyond K + 1; so many and one more are shared by linked ones."""
+        return self.least(window) // 6
+
+    def shared(self, n: Column, most: int) -> Column:
+        """How many signatures a set of n elements, at most ``most``, shares at least if it links with another."""
+        self.windows(most)
+        out = F.lit(1)
+        for w in range(len(self.bounds) - 2, -1, -1):
+            out = F.when(n < self.bounds[w + 1], 1 + self.extra(w)).otherwise(out)
+        return out
 
     def sign(self, s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The signatures of a set, and the windows in which it has too few parts."""
@@ -172,6 +195,7 @@ class Cut:
             seed = np.uint64((window + 1) * 0xD6E8FEB86659FD93 % 2**64)
             total = np.zeros(2 * parts, np.uint64)
             np.add.at(total, part, _mix(s ^ seed))
+            need += self.extra(window)
             full = np.flatnonzero(np.bincount(part, minlength=2 * parts))[:need]
             if len(full) < need:
                 short.append(window)
@@ -231,25 +255,37 @@ def _scan(width: int):
 
 
 def _signed(width: int, percent: int, frequent, spare: dict[int, int]):
-    """Rows (sig, h), a signature once for the sets of a chunk.
+    """Rows (sig, h): the signatures of the sets of a chunk.
 
-    The sets of a chunk that share a signature hang under the least of them, by a number
-    that only the two of them bear in place of a signature.  A window in which a set
-    has too few parts gives the row (window, -1).
+    Where more than CROWD sets of a chunk share a signature, the one that shares most stands for
+    all: the others hang under it by a number that only the two of them bear in place of a
+    signature.  How many signatures a set shares in crowds comes as (~h, number); who stands for
+    others counts as sharing any number.  A window in which a set has too few parts gives the row (window, -1).
     """
 
     def combined(sigs, owners, numbers, short):
         sig, owner = np.concatenate(sigs), np.array(numbers, np.int64)[np.repeat(np.arange(len(owners)), owners)]
-        order = np.lexsort((owner, sig))
+        order = np.argsort(sig, kind="stable")
         sig, owner = sig[order], owner[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-        least = owner[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sig) else owner
-        pairs = np.unique(np.stack([least[owner != least], owner[owner != least]], 1), axis=0)
-        bond = _mix(_mix(pairs[:, 0].view(np.uint64)) * np.uint64(3) + pairs[:, 1].view(np.uint64)) >> np.uint64(64 - SIGNATURE_BITS)
-        a = np.concatenate([sig[first], bond, bond, np.array(sorted(short), np.uint64)]).view(np.int64)
-        b = np.concatenate([owner[first], pairs[:, 0], pairs[:, 1], np.full(len(short), -1, np.int64)])
-        for at in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["sig", "h"])
+        start, group = np.flatnonzero(first), np.cumsum(first) - 1
+        crowd = (np.diff(np.append(start, len(sig))) > CROWD)[group] if len(sig) else first
+        who, times = np.unique(owner[crowd], return_counts=True)
+        a, b = [sig[~crowd].view(np.int64)], [owner[~crowd]]
+        if len(who):
+            inside, of = owner[crowd], group[crowd]
+            count = times[np.searchsorted(who, inside)]
+            by = np.lexsort((inside, -count, of))
+            lead = inside[by][np.concatenate([[True], of[by][1:] != of[by][:-1]])]
+            leads = lead[np.unique(of, return_inverse=True)[1]]
+            pairs = np.unique(np.stack([leads, inside], 1)[leads != inside], axis=0)
+            bond = (_mix(_mix(pairs[:, 0].view(np.uint64)) * np.uint64(3) + pairs[:, 1].view(np.uint64)) >> np.uint64(64 - SIGNATURE_BITS)).view(np.int64)
+            times = np.where(np.isin(who, lead), 1 << 40, times)
+            a += [sig[start[np.unique(of)]].view(np.int64), bond, bond, ~who]
+            b += [lead, pairs[:, 0], pairs[:, 1], times]
+        a.append(np.array(sorted(short), np.int64))
+        b.append(np.full(len(short), -1, np.int64))
+        yield from _rows([np.concatenate(a), np.concatenate(b)], ["sig", "h"])
 
     def run(batches):
         hashes, cut, often = _WordHash(), Cut(percent, spare), frequent.value
@@ -332,27 +368,35 @@ def _frequent(base: DataFrame) -> np.ndarray:
     return np.sort(tokens.astype(np.int64).view(np.uint64))
 
 
-def _families(source: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """(node, label) for the numbers of all sets that share a signature."""
+def _families(source: DataFrame, sets: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """(node, label) for the numbers of all sets that share as many signatures as linked sets do."""
+    most = sets.agg(F.max("n")).first()[0] or 1
     spare: dict[int, int] = {}
     while True:
         signed = source.select("text").mapInArrow(_signed(width, percent, frequent, spare), "sig long, h long")
         signed = signed.filter("sig is not null and h is not null").repartition("sig")
-        # One exchange serves the choice of the least number and the way back to it.
-        stars = signed.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi or lo < 0").select("sig", "lo")
-        edges = signed.join(stars, "sig").select("h", F.when(F.col("lo") < 0, F.col("sig")).otherwise(F.col("lo")).alias("lo"))
-        edges = written(edges.filter("h <> lo").distinct(), "stars")
-        short = [r.lo for r in edges.filter("h < 0").select("lo").distinct().collect()]  # windows, some dozens at most
-        found = None if short else components(edges.select(F.col("h").alias("u"), F.col("lo").alias("v")))
-        forget(edges)
-        if found:
+        # One exchange serves the choice of the signatures and the way back to them.
+        met = signed.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi or lo < 0 or sig < 0").select("sig")
+        shared = written(signed.join(met, "sig"), "shared")
+        short = [r.sig for r in shared.filter("sig >= 0 and h < 0").select("sig").distinct().collect()]  # windows, some dozens at most
+        if not short:
+            crowded = F.col("sig") < 0
+            weights = shared.select(F.when(crowded, F.expr("~sig")).otherwise(F.col("h")).alias("h"), F.when(crowded, F.col("h")).otherwise(1).alias("w"))
+            weights = weights.groupBy("h").agg(F.sum("w").alias("w"))
+            strong = weights.join(sets.select("h", "n"), "h").filter(F.col("w") >= Cut(percent).shared(F.col("n"), most)).select("h").distinct()
+            kept = written(shared.filter("sig >= 0").join(strong, "h", "left_semi"), "shared")
+            forget(shared)
+            stars = kept.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("sig", "lo")
+            found = components(kept.join(stars, "sig").select(F.col("h").alias("u"), F.col("lo").alias("v")))
+            forget(kept)
             return found
+        forget(shared)
         for window in short:
             spare[window] = spare.get(window, 0) + 1
 
 
-def _rebased(diff: DataFrame, num: int, den: int) -> DataFrame:
-    """The differences (h, label, n, d) from each label's consensus, with slack s, and the label's most slack with its owner.
+def _rebased(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The differences (h, label, n, d) from each label's consensus, with slack s, and the label's most slack bs with its owner bh; the tables behind.
 
     s = num * n - den * size(d): sets with slacks of a sum of 0 or more link.
     """
@@ -363,9 +407,8 @@ def _rebased(diff: DataFrame, num: int, den: int) -> DataFrame:
     moved = join_spread(diff, turn, "label", "h").select("h", "label", "n", F.concat(F.array_except("d", "t"), F.array_except("t", "d")).alias("d"))
     moved = written(moved.withColumn("s", F.expr(f"n * {num} - size(d) * {den}")), "rebased")
     best = moved.groupBy("label").agg(F.max(F.struct("s", "h")).alias("b"))
-    out = written(join_spread(moved, best.select("label", F.col("b.s").alias("bs"), F.col("b.h").alias("bh")), "label", "h"), "round")
-    forget(moved)
-    return out
+    best = written(best.select("label", F.col("b.s").alias("bs"), F.col("b.h").alias("bh")), "best")
+    return join_spread(moved, best, "label", "h"), [moved, best]
 
 
 def _promising(rows: DataFrame, den: int) -> DataFrame:
@@ -376,24 +419,31 @@ def _promising(rows: DataFrame, den: int) -> DataFrame:
     return rows.join(shared, "h").filter(f"2 * {den} * size(shared) >= -(s + bs)")
 
 
-def _derived_links(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The members rebased on their families' consensus, and tables (u, v) of links that follow without pairs."""
-    first, links, group, tables = None, [], diff, []
+def _derived_links(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """The members rebased on their families' consensus, tables (u, v) of links that follow without pairs, and the tables behind the first.
+
+    The table ``diff`` is used up.
+    """
+    links: list[DataFrame] = []
+    group, before, first, behind = diff, [diff], None, []
     for _ in range(ROUNDS):
-        rows = _rebased(group, num, den)
-        tables.append(rows)
-        found = written(rows.filter("s + bs >= 0 and h <> bh").select(F.col("h").alias("u"), F.col("bh").alias("v")), "links")
-        links.append(found)
-        first = first or rows
-        open_ = written(_promising(rows.filter("s + bs < 0"), den), "open")
-        tables.append(open_)
+        rows, tables = _rebased(group, num, den)
+        for table in before:
+            forget(table)
+        links.append(written(rows.filter("s + bs >= 0 and h <> bh").select(F.col("h").alias("u"), F.col("bh").alias("v")), "links"))
         # The most frequent element of its difference names the sub-family of a member.
-        group = open_.withColumn("top", F.element_at("shared", -1)).filter(f"top.c >= {SPLIT}").select("h", F.xxhash64("label", "top.token").alias("label"), "n", "d")
+        open_ = _promising(rows.filter("s + bs < 0"), den).withColumn("top", F.element_at("shared", -1)).filter(f"top.c >= {SPLIT}")
+        group = written(open_.select("h", F.xxhash64("label", "top.token").alias("label"), "n", "d"), "open")
+        before = [group]
+        if first is None:
+            first, behind = rows, tables
+        else:
+            before += tables
         if group.isEmpty():
             break
-    for table in tables[1:]:
+    for table in before:
         forget(table)
-    return first, links
+    return first, links, behind
 
 
 def _paired_links(rows: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
@@ -456,7 +506,7 @@ def _groups(docs: DataFrame, text_col: str, id_col: str, width: int, percent: in
     tree = merge_runs(base.filter("n > 0").select("id", "th", "n", "skey", "h"), ["skey", "h", "n"], "id", {"node": (F.min("id"), F.min)})
     sets = written(tree.root, "roots")
 
-    family = _families(source, width, percent, frequent)
+    family = _families(source, sets, width, percent, frequent)
     members = written(family.join(sets, family["node"] == sets["h"]).select("label", "h", sets["node"]), "members")
     forget(family)
     lead = members.groupBy("label").agg(F.min("h").alias("lead"))
@@ -474,19 +524,20 @@ def _groups(docs: DataFrame, text_col: str, id_col: str, width: int, percent: in
     diff = written(near.mapInArrow(_differences(width), "h long, label long, n long, d array<long>"), "differences")
     forget(leads)
     if diff.count() > members.count():  # rows that repeat identifier and text
-        diff = written(diff.dropDuplicates(["h"]), "differences")
+        repeated, diff = diff, written(diff.dropDuplicates(["h"]), "differences")
+        forget(repeated)
     forget(members)
 
     ratio = Fraction(100 - percent, 100 + percent)
     num, den = ratio.numerator, ratio.denominator
-    rows, links = _derived_links(diff, num, den)
-    forget(diff)
+    rows, links, behind = _derived_links(diff, num, den)
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
     comps = components(edges)
     more = _paired_links(rows, comps, num, den)
-    forget(rows)
+    for table in behind:
+        forget(table)
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     for table in [*links, more]:
