@@ -55,14 +55,15 @@ def call_levels(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv_id, turn, call_id, errors) for calls whose arguments break their schema.
+    """(asked, errors) for the calls whose arguments break their schema, by what they ask (see ``asked``).
 
     ``schemas`` has a row (name, param, type, required) per parameter.  Errors are
     "json" (not a JSON object), "tool" (no such schema), "missing:p", "unknown:p" and
-    "type:p", sorted.
+    "type:p", sorted.  Errors depend on nothing but name and arguments, so equal calls are checked once.
     """
-    parsed = calls.select("conv_id", "turn", "call_id", "name", F.expr("try_parse_json(arguments)").alias("v"), F.expr("json_object_keys(arguments)").alias("ks"))
-    key = ["conv_id", "turn", "call_id"]
+    parsed = calls.select(asked().alias("asked"), "name", "arguments").dropDuplicates(["asked"])
+    parsed = parsed.select("asked", "name", F.expr("try_parse_json(arguments)").alias("v"), F.expr("json_object_keys(arguments)").alias("ks"))
+    key = ["asked"]
     known = schemas.select("name").distinct().withColumn("tool", F.lit(True))
     s = schemas.select("name", "param", "type", F.coalesce("required", F.lit(False)).alias("required"))
     base = parsed.join(known, "name", "left")
@@ -71,11 +72,10 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         F.when(F.col("v").isNull() | F.col("ks").isNull(), "json").when(F.col("tool").isNull(), "tool").alias("error"),
     ).filter("error is not null")
     good = base.filter("v is not null and ks is not null and tool")
-    given = good.select(*key, "name", F.explode("ks").alias("param"), "v")
     pattern = F.coalesce(*[F.when(F.col("type") == t, F.lit(p)) for t, p in TYPES.items()], F.lit(".*"))
     # Each argument with its own type, then the schema's row for it.
-    typed = given.select(*key, "name", "param", F.expr("schema_of_variant(v)").alias("shape"))
-    typed = typed.withColumn("got", F.expr("regexp_extract(shape, concat('[<, ]', '\\\\Q', param, '\\\\E: ([A-Z]+)'), 1)")).drop("shape")
+    given = good.lateralJoin(calls.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    typed = given.select(*key, "name", F.col("key").alias("param"), F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0).alias("got"))
     checked = typed.join(s, ["name", "param"], "left").select(
         *key,
         F.when(F.col("type").isNull(), F.concat(F.lit("unknown:"), "param"))
@@ -87,6 +87,11 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return whole.unionByName(checked).unionByName(missing).groupBy(*key).agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
+def asked():
+    """What a call asks for, its name and arguments, as a digest; null and "null" differ."""
+    return F.sha2(F.to_json(F.struct("name", "arguments")), 256)
+
+
 def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, call_id, linked, level, errors, json.
 
@@ -108,7 +113,8 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     level = call_levels(calls.select("conv_id", "call_id", "arguments"), results)
     link = link.join(level, ["conv_id", "call_id"], "left")
     errors = argument_errors(calls, schemas)
-    out = m.join(link.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(errors.hint("shuffle_hash"), ["conv_id", "turn", "call_id"], "left")
+    m = m.withColumn("asked", F.when(F.expr("kind = 'call' and call_id is not null"), asked()))
+    out = m.join(link.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(errors, "asked", "left")
     # Keys in order; arguments are parsed, which sorts their keys and drops white space.
     body = F.to_json(
         F.struct(

@@ -69,12 +69,14 @@ def drop_exact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """The rows of ``docs`` that stay, with all their columns.
 
     Rows without an identifier stay, since no decision can be tied to them; rows
-    that repeat both identifier and text are one document and stay together.
+    that repeat both identifier and text are one document and stay together.  Rows that
+    share an identifier but not the text are judged each by its own text, so no text is lost.
     """
     gone = (
         exact_groups(docs, text_col, id_col, **options)
         .filter(~F.col("kept") & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_gone"))
+        .select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
         .distinct()
     )
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    same = (docs[id_col] == gone["_gone"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone["_sha"])
+    return docs.join(gone, same, "left_anti")
