@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,12 @@ def forget(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what finished queries leave on the driver: plans, generated classes, broadcasts."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread_of(column: str | Column, ways: int = SPREAD) -> Column:
     """A number below ``ways`` from a column that differs between the rows of a key."""
     c = F.col(column) if isinstance(column, str) else column

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import forget, join_spread, written
+from ._tables import forget, join_spread, tidy, written
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v and u is not null and v is not null")
     e = written(e.distinct(), "edges")
-    before = None
+    before, rounds = None, 0
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -30,6 +30,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         old, e = e, written(small.distinct(), "edges")
         forget(old)
+        rounds += 1
+        if rounds % 3 == 0:
+            tidy(e.sparkSession)
+        if rounds == 1:
+            continue
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == before:
             break

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import bounded_batches, forget, join_spread, spread_of, written
+from ._tables import bounded_batches, forget, join_spread, spread_of, tidy, written
 from ._tree import merge_runs
 from .components import components
 
@@ -58,7 +58,7 @@ FREQUENT, SEEN, MAX_FREQUENT = 20, 3, 500_000
 #: Rows of 24 bytes that are sent to all executors at most; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
 #: Rounds of sub-families; how many members an element must have for a sub-family of its own.
-ROUNDS, SPLIT = 6, 4
+ROUNDS, SPLIT = 4, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -430,6 +430,7 @@ def _derived_links(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list
         rows, tables = _rebased(group, num, den)
         for table in before:
             forget(table)
+        tidy(diff.sparkSession)
         links.append(written(rows.filter("s + bs >= 0 and h <> bh").select(F.col("h").alias("u"), F.col("bh").alias("v")), "links"))
         # The most frequent element of its difference names the sub-family of a member.
         open_ = _promising(rows.filter("s + bs < 0"), den).withColumn("top", F.element_at("shared", -1)).filter(f"top.c >= {SPLIT}")
@@ -509,6 +510,7 @@ def _groups(docs: DataFrame, text_col: str, id_col: str, width: int, percent: in
     family = _families(source, sets, width, percent, frequent)
     members = written(family.join(sets, family["node"] == sets["h"]).select("label", "h", sets["node"]), "members")
     forget(family)
+    frequent.destroy()
     lead = members.groupBy("label").agg(F.min("h").alias("lead"))
     leaders = members.join(lead, "label").filter("h = lead").select("label", "h", "node")
 
@@ -535,6 +537,7 @@ def _groups(docs: DataFrame, text_col: str, id_col: str, width: int, percent: in
     for more in links[1:]:
         edges = edges.unionByName(more)
     comps = components(edges)
+    tidy(spark)
     more = _paired_links(rows, comps, num, den)
     for table in behind:
         forget(table)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import bounded_batches
+from ._tables import bounded_batches, tidy
 
 #: Labelled rows of which a model is learnt at most, taken in the order of a hash.
 MAX_LABELLED = 4000
@@ -347,7 +347,11 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
     rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return learn(rows.column("_text").to_pylist(), rows.column("_y").to_pylist())
+    model = learn(rows.column("_text").to_pylist(), rows.column("_y").to_pylist())
+    del rows
+    tidy(docs.sparkSession)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
