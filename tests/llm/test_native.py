@@ -146,3 +146,28 @@ def test_context_of_every_place(spark):
         got = sorted((r.start, r.candidate, r.before, r.after) for r in secrets_scan.candidates(docs(spark, [(1, t)])).collect())
         places = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{12,}={0,2}", t)]
         assert got == [(a, t[a:b], t[max(0, a - 48) : a], t[b : b + 48]) for a, b in places] and got
+
+
+def test_no_text_is_lost_where_identifiers_repeat(spark):
+    d = docs(spark, [(5, "x"), (5, "y"), (9, "y"), (1, "x"), (None, "x"), (5, "x")])
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_exact(d).collect()) == [("5", "x"), ("5", "x"), ("9", "y"), ("None", "x")]
+
+
+def test_types_are_those_of_the_arguments_themselves(spark):
+    cases = {
+        1: ('{"a":{"city":5},"city":"Ulm"}', "unknown:a"), 2: ('{"city":"Ulm","n":2.5}', "type:n"), 3: ('{"city":null}', "type:city"), 4: ('{"n":1,"city":["Ulm"]}', "type:city"),
+        5: ('{"city":"Ulm: STRING, n: BIGINT","n":3}', ""), 6: ("[1]", "json"), 7: ('{"city":"a","city":"b"}', "json"), 8: (None, "json"),
+    }
+    out = chat(spark, [(1, t, "assistant", None, "call", str(t), "find", a) for t, (a, _) in cases.items()])
+    assert {t: out[1, t].errors for t in cases} == {t: e for t, (_, e) in cases.items()}
+    m = spark.createDataFrame([(1, 1, "assistant", None, "call", "a", "f", '{"my city":"Ulm"}')], "conv_id long, turn long, role string, text string, kind string, call_id string, name string, arguments string")
+    s = spark.createDataFrame([("f", "my city", "string", True)], "name string, param string, type string, required boolean")
+    assert chat_format.format_chats(m, s).first().errors == ""
+
+
+def test_errors_belong_to_each_message(spark):
+    rows = [(1, None, "assistant", None, "call", "a", "find", "{}"), (1, 3, "assistant", None, "call", "b", "find", "{}"), (1, 3, "assistant", None, "call", "b", "find", '{"city":"Ulm"}'), (1, 4, "assistant", None, "call", "c", None, "{}")]
+    m = spark.createDataFrame([(*r, 0) for r in rows], MESSAGES)
+    s = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
+    out = chat_format.format_chats(m, s).collect()
+    assert sorted((str(r.turn), r.errors) for r in out) == [("3", ""), ("3", "missing:city"), ("4", "tool"), ("None", "missing:city")]
