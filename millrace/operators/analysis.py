@@ -113,8 +113,8 @@ def strongest_correlations(df: DataFrame, columns: list[str] | None = None, top:
     return correlations(df, columns).filter("abs(r) < 1").orderBy(F.desc(F.abs("r")), "column_a", "column_b").limit(top)
 
 
-def outlier_counts(df: DataFrame, columns: list[str] | None = None, most: int = 15) -> DataFrame:
-    """(column, outliers) beyond 1.5 interquartile ranges, of the first numeric columns."""
+def outlier_counts(df: DataFrame, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """(column, outliers) beyond 1.5 interquartile ranges, of the numeric columns, the first ``most`` if that is given."""
     columns = (columns or numeric_columns(df))[:most]
     q = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{k}") for k, c in enumerate(columns)])
     joined = df.select(*columns).crossJoin(F.broadcast(q))  # q is one row

@@ -34,8 +34,8 @@ def univariate(df: DataFrame, column: str, z: float = 3.0) -> DataFrame:
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
-    """One row: total_rows, anomaly_count, anomaly_rate_percent, lower and upper bound."""
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    """One row: total_rows (that have a value), anomaly_count, anomaly_rate_percent, lower and upper bound."""
+    total = df.agg(F.count(F.col(f"`{column}`").cast("double")).alias("total_rows"))
     found = univariate(df, column).agg(F.count(F.lit(1)).alias("anomaly_count"))
     b = bounds(df, column).select(F.round("low", 4).alias("lower_bound"), F.round("high", 4).alias("upper_bound"))
     return total.crossJoin(found).crossJoin(b).withColumn("anomaly_rate_percent", F.round(F.try_divide(F.col("anomaly_count") * 100.0, "total_rows"), 2))

@@ -147,8 +147,13 @@ def key_resolution(child: DataFrame, parent: DataFrame, child_key: str, parent_k
     return s.select("rows", "resolved", "unmatched", share.alias("resolved_share"), status.alias("status"))
 
 
-def build_integrated(tables: dict[str, DataFrame], relationships: list[dict], profiles: dict[str, TableProfile]) -> tuple[dict[str, DataFrame], list[dict]]:
-    """The joins that are safe, best first, one per child and pair of tables, and what was skipped and why."""
+def build_integrated(
+    tables: dict[str, DataFrame], relationships: list[dict], profiles: dict[str, TableProfile], max_rows: int | None = None
+) -> tuple[dict[str, DataFrame], list[dict]]:
+    """The joins that are safe, best first, one per child and pair of tables, and what was skipped and why.
+
+    A lookup join cannot grow, so children may have any number of rows unless ``max_rows`` says otherwise.
+    """
     out: dict[str, DataFrame] = {}
     notes: list[dict] = []
     children, pairs = set(), set()
@@ -159,8 +164,8 @@ def build_integrated(tables: dict[str, DataFrame], relationships: list[dict], pr
             skip = f"{r['type']} or not confident"
         elif ct in children or frozenset((pt, ct)) in pairs:
             skip = "already joined"
-        elif profiles[ct].rows > MAX_ROWS:
-            skip = f"more than {MAX_ROWS} rows"
+        elif max_rows is not None and profiles[ct].rows > max_rows:
+            skip = f"more than {max_rows} rows"
         else:
             s = key_resolution(tables[ct], tables[pt], cc, pc).first()
             if s["rows"] == 0 or s["resolved"] < RESOLVED * s["rows"]:

@@ -245,7 +245,7 @@ def write_all(title: str, report: dict, folder: str, name: str) -> dict[str, str
     base = Path(folder)
     base.mkdir(parents=True, exist_ok=True)
     text = to_markdown(title, report)
-    figures = [charts.svg_bars([(str(a), float(b or 0)) for a, b in rows[-25:]], n) for n, rows in report.get("charts", {}).items() if rows]
+    figures = [charts.svg_bars([(str(a), float(b or 0)) for a, b in rows], n) for n, rows in report.get("charts", {}).items() if rows]
     paths = {k: str(base / f"{name}.{k}") for k in ("md", "html", "pdf", "docx")}
     Path(paths["md"]).write_text(text, encoding="utf-8")
     Path(paths["html"]).write_text(to_html(text, figures), encoding="utf-8")

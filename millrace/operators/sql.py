@@ -1,14 +1,16 @@
 """Read-only SQL over named tables.
 
 A statement is judged by its parsed plan, not by its text: only queries pass, and
-functions that reach outside the session are refused.
+functions that reach outside the session are refused.  Every node and expression of the
+plan is looked at, with all subqueries, so neither length nor nesting hides one.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections.abc import Iterator
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,11 @@ from ..session import isolated
 MAX_ROWS = 200
 #: Functions that run arbitrary code or read files.
 REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "read_files"}
-#: Roots and parts of plans that only read.
+TREE, PLAN = "org.apache.spark.sql.catalyst.trees.TreeNode", "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+#: Calls of functions, and names that only running an expression would tell.
+FUNCTIONS = {"UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"}
+NAMED_AT_RUN_TIME = {"ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier"}
+#: Nodes of plans that do more than read.
 COMMANDS = ("Command", "InsertInto", "CreateTable", "CreateView", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Repair", "SetCatalog", "SetNamespace", "Explain", "Describe", "Show", "Cache", "Uncache", "Refresh", "Analyze", "Load", "CreateFunction", "CreateVariable", "SetVariable", "CompoundBody", "Replace", "Call")
 
 
@@ -37,26 +43,51 @@ def check(spark: SparkSession, query: str) -> str | None:
     finally:
         if before.isDefined():
             sessions.setActiveSession(before.get())
+    for kind, node in parts_of(spark, plan):
+        if kind in NAMED_AT_RUN_TIME:
+            return "Names made by expressions are not allowed."
+        if kind == "UnresolvedRelation" and node.multipartIdentifier().size() > 1:
+            return f"Table {node.multipartIdentifier().mkString('.')} is not one of the session's."
+        if kind in FUNCTIONS:
+            name = [x.lower() for x in _items(spark, node.nameParts() if kind == "UnresolvedFunction" else node.name())]
+            if len(name) > 1 or name[-1] in REFUSED_FUNCTIONS:
+                return f"Function '{'.'.join(name)}' is not allowed."
+        if any(kind.startswith(c) or kind.endswith("Command") for c in COMMANDS) and is_instance_of(spark.sparkContext._gateway, node, PLAN):
+            return "Only SELECT or WITH queries are allowed."
+    return None
+
+
+def _items(spark: SparkSession, found) -> list[str]:
+    """The items of a Scala collection, or the one name that it is instead."""
+    if not is_instance_of(spark.sparkContext._gateway, found, "scala.collection.Iterable"):
+        return [found.toString()]
+    out, each = [], found.iterator()
+    while each.hasNext():
+        out.append(str(each.next()))
+    return out
+
+
+def parts_of(spark: SparkSession, plan: JavaObject) -> Iterator[tuple[str, JavaObject]]:
+    """(class, object) of every node and expression of a plan, wherever it stands: all fields are followed."""
+    gateway = spark.sparkContext._gateway
     todo = [plan]
     while todo:
         node = todo.pop()
-        name = node.getClass().getSimpleName()
-        if any(name.startswith(c) or name.endswith("Command") for c in COMMANDS):
-            return "Only SELECT or WITH queries are allowed."
-        for k in range(node.children().size()):
-            todo.append(node.children().apply(k))
-        inner = node.innerChildren()
-        for k in range(inner.size()):
-            if hasattr(inner.apply(k), "innerChildren"):
-                todo.append(inner.apply(k))
-    lowered = plan.toString().lower()
-    for parts in re.findall(r"unresolvedrelation \[([^\]]*)\]", lowered):
-        if "," in parts:
-            return f"Table {parts.replace(', ', '.')} is not one of the session's."
-    for f in REFUSED_FUNCTIONS:
-        if f"'{f}(" in lowered or f"unresolvedfunction [{f}]" in lowered:
-            return f"Function '{f}' is not allowed."
-    return None
+        if not isinstance(node, JavaObject):
+            continue
+        full = node.getClass().getName()
+        if is_instance_of(gateway, node, TREE):
+            yield full.rpartition(".")[2].rpartition("$")[2] or full, node
+        if full.startswith("org.apache.spark.sql.types."):
+            continue
+        if is_instance_of(gateway, node, "scala.collection.Iterable"):
+            each = node.iterator()
+        elif is_instance_of(gateway, node, "scala.Product"):
+            each = node.productIterator()
+        else:
+            continue
+        while each.hasNext():
+            todo.append(each.next())
 
 
 def query(tables: dict[str, DataFrame], sql: str) -> DataFrame:
@@ -68,11 +99,16 @@ def query(tables: dict[str, DataFrame], sql: str) -> DataFrame:
     why = check(own, sql)
     if why:
         raise ValueError(why)
-    for name, df in tables.items():
-        shared = f"millrace_{uuid.uuid4().hex}"  # a view that the query's own session can see
-        df.createOrReplaceGlobalTempView(shared)
-        own.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.{shared}")
-    return own.sql(sql.strip().rstrip(";"))
+    views = []  # that the query's own session can see, until the query is analysed
+    try:
+        for name, df in tables.items():
+            views.append(f"millrace_{uuid.uuid4().hex}")
+            df.createOrReplaceGlobalTempView(views[-1])
+            own.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.{views[-1]}")
+        return own.sql(sql.strip().rstrip(";"))
+    finally:
+        for view in views:
+            spark.catalog.dropGlobalTempView(view)
 
 
 def run_sql_query(tables: dict[str, DataFrame], sql: str) -> dict:

@@ -73,6 +73,19 @@ def detect_encoding(head: bytes) -> str:
     return "latin-1"
 
 
+def encoding_of(spark: SparkSession, path: str, head: bytes) -> str:
+    """The first encoding that reads the whole file; its lines are tested where they lie, in parallel."""
+    name = detect_encoding(head)
+    lines = spark.read.text(path)
+    if name.startswith("utf") and not lines.filter(~F.is_valid_utf8("value")).isEmpty():
+        name = "cp1252"
+    if name == "cp1252":  # five bytes mean nothing in it
+        codes = F.hex(F.col("value").cast("binary"))
+        if not lines.filter(F.regexp_like(codes, F.lit("^(?:..)*(?:81|8D|8F|90|9D)"))).isEmpty():
+            name = "latin-1"
+    return name
+
+
 def detect_separator(text: str) -> str:
     """The separator that cuts the lines most alike; of equal ones that with most columns; a comma by default."""
     lines = [x for x in text.splitlines() if x.strip()][:50]
@@ -91,7 +104,7 @@ def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]
     head = head_of(spark, path)
     if not head.strip():
         raise LoadError("The file is empty.")
-    encoding = detect_encoding(head)
+    encoding = encoding_of(spark, path, head)
     sep = detect_separator(head.decode(encoding, "replace"))
     charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}[encoding]
     df = (

@@ -305,3 +305,48 @@ def test_scatter_gives_all_points(spark, sf):
 
     whole = catalogue.QUERIES["scatter_points"](spark, "/root/testdata/sf0.1")
     assert whole.count() == spark.read.parquet("/root/testdata/sf0.1/part.parquet").dropna(subset=["p_size", "p_retailprice"]).count() > 500
+
+
+def test_sql_guard_sees_every_part_of_a_plan(spark):
+    t = {"sales": spark.createDataFrame([("a", 1)], "category string, n int")}
+    call = "reflect('java.lang.System', 'getProperty', 'user.home')"
+    refused = [
+        "SELECT " + ", ".join(f"{k} AS c{k}" for k in range(40)) + f", {call}",
+        f"SELECT (SELECT max({call}) FROM sales) AS x",
+        f"SELECT category FROM sales GROUP BY category HAVING max({call}) > ''",
+        f"WITH t AS (SELECT {call} AS x) SELECT * FROM t",
+        f"SELECT * FROM sales WHERE EXISTS (WITH t AS (SELECT {call} AS x) SELECT * FROM t)",
+        f"SELECT * FROM sales ORDER BY {call}",
+        f"SELECT sum(n) OVER (PARTITION BY {call}) FROM sales",
+        f"SELECT transform(array(1), x -> {call}) AS x",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM IDENTIFIER('sal' || 'es')",
+        "SELECT * FROM parquet.`/etc`",
+        "SELECT * FROM sales JOIN (SELECT * FROM csv.`/etc/passwd`)",
+        "SELECT Java_Method('java.lang.System', 'getProperty', 'user.home')",
+        "DROP TABLE sales",
+    ]
+    for q in refused:
+        assert "error" in sql.run_sql_query(t, q), q
+    assert sql.run_sql_query(t, "SELECT 'reflect(' AS reflect FROM sales")["rows"]
+    assert not [v for v in spark.catalog.listTables("global_temp") if v.name.startswith("millrace_")]
+    assert sql.run_sql_query(t, "WITH t AS (SELECT n FROM sales) SELECT sum(n) AS s, count(*) AS k FROM t")["rows"] == [{"s": 1, "k": 1}]
+
+
+def test_late_accents_decide_the_encoding(spark, tmp_path):
+    from millrace.sources import files
+
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"a,b\n" + b"x,y\n" * 30_000 + "caf\u00e9,\u20ac5\n".encode("cp1252"))
+    df, notes = files.read_delimited(spark, str(path))
+    assert df.filter("a not in ('x')").collect()[0].asDict() == {"a": "caf\u00e9", "b": "\u20ac5"} and "cp1252" in notes[0]
+    path.write_bytes(b"a,b\n" + b"x,y\n" * 30_000 + b"\x81,\xe9\n")
+    assert "latin-1" in files.read_delimited(spark, str(path))[1][0]
+    path.write_bytes(b"a,b\n" + b"x,y\n" * 30_000 + "caf\u00e9,\u20ac5\n".encode())
+    assert "utf-8" in files.read_delimited(spark, str(path))[1][0]
+
+
+def test_nulls_do_not_count_in_anomaly_rates(spark):
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4, 5, 2, 3, 4, 3, 900]] + [(None,)] * 10, "x double")
+    r = anomaly.summary(df, "x").first()
+    assert (r.total_rows, r.anomaly_count, r.anomaly_rate_percent) == (10, 1, 10.0)
