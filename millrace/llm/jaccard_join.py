@@ -412,50 +412,62 @@ def _rebased(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataF
 
 
 def _promising(rows: DataFrame, den: int) -> DataFrame:
-    """``rows`` without those whose difference shares too few elements with others of the label for any link, with the shared ones, rarest first."""
-    each = rows.select("h", "label", F.explode("d").alias("token"))
-    often = each.groupBy("label", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = each.join(often, ["label", "token"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+    """``rows`` without those whose difference shares too few elements with others of the label for any link, with the shared ones, rarest first.
+
+    Elements that no open member holds do not count: links between the others are known.
+    """
+    each = rows.select("h", "label", "open", F.explode("d").alias("token"))
+    often = each.groupBy("label", "token").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("o")).filter("c > 1 and o")
+    shared = each.select("h", "label", "token").join(often.select("label", "token", "c"), ["label", "token"])
+    shared = shared.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
     return rows.join(shared, "h").filter(f"2 * {den} * size(shared) >= -(s + bs)")
 
 
-def _derived_links(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
-    """The members rebased on their families' consensus, tables (u, v) of links that follow without pairs, and the tables behind the first.
+def _with_open(rows: DataFrame) -> DataFrame:
+    """The rows of labels with an open member; ``bs`` becomes the most slack of a partner: any for an open member, an open one's for others."""
+    rows = rows.withColumn("open", F.expr("s + bs < 0"))
+    most = rows.filter("open").groupBy("label").agg(F.max("s").alias("os"))
+    rows = join_spread(rows, most, "label", "h")
+    return rows.withColumn("bs", F.when(F.col("open"), F.col("bs")).otherwise(F.col("os"))).drop("os", "bh")
+
+
+def _derived_links(diff: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Members rebased on their families' consensus that may have links left, and tables (u, v) of links that follow without pairs.
 
     The table ``diff`` is used up.
     """
     links: list[DataFrame] = []
-    group, before, first, behind = diff, [diff], None, []
+    group, before, left = diff, [diff], None
     for _ in range(ROUNDS):
         rows, tables = _rebased(group, num, den)
         for table in before:
             forget(table)
         tidy(diff.sparkSession)
         links.append(written(rows.filter("s + bs >= 0 and h <> bh").select(F.col("h").alias("u"), F.col("bh").alias("v")), "links"))
+        if left is None:  # what members share is found once, for their sub-families and for the pairs
+            left = open_ = written(_promising(_with_open(rows), den), "left")
+        else:
+            open_ = _promising(rows.withColumn("open", F.expr("s + bs < 0")).filter("open"), den)
         # The most frequent element of its difference names the sub-family of a member.
-        open_ = _promising(rows.filter("s + bs < 0"), den).withColumn("top", F.element_at("shared", -1)).filter(f"top.c >= {SPLIT}")
+        open_ = open_.filter("open").withColumn("top", F.element_at("shared", -1)).filter(f"top.c >= {SPLIT}")
         group = written(open_.select("h", F.xxhash64("label", "top.token").alias("label"), "n", "d"), "open")
-        before = [group]
-        if first is None:
-            first, behind = rows, tables
-        else:
-            before += tables
+        before = [group, *tables]
         if group.isEmpty():
             break
     for table in before:
         forget(table)
-    return first, links, behind
+    return left, links
+
 
+def _paired_links(left: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links between members of the table ``left`` that ``comps`` does not connect, with one of them open at least.
 
-def _paired_links(rows: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links between members of ``rows`` that ``comps`` does not connect, with one of them open at least."""
+    The table ``left`` is used up.
+    """
+    rows = left.select("h", "label", "open", "s", "shared", F.expr(f"cast(ceil(-(s + bs) / (2.0 * {den})) as int)").alias("need"))
     rows = rows.join(comps.select(F.col("node").alias("h"), F.col("label").alias("comp")), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    rows = rows.withColumn("open", F.expr("s + bs < 0"))
-    apart = rows.groupBy("label").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.when(F.col("open"), F.col("s"))).alias("os"))
-    rows = join_spread(rows, apart.filter("c0 < c1 and os is not null").select("label", "os"), "label", "h")
-    # The most slack of a partner: any for an open member, an open one's for others.
-    rows = rows.withColumn("bs", F.when(F.col("open"), F.col("bs")).otherwise(F.col("os"))).drop("os", "bh")
-    rows = written(_promising(rows, den).withColumn("need", F.expr(f"cast(ceil(-(s + bs) / (2.0 * {den})) as int)")), "apart")
+    apart = rows.groupBy("label").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("open").alias("o")).filter("c0 < c1 and o")
+    rows = join_spread(rows, apart.select("label"), "label", "h")
     prefix = F.posexplode(F.expr("slice(shared, 1, size(shared) - need + 1)")).alias("p", "x")
     entries = rows.select("h", "label", "comp", "open", "s", "need", prefix, F.size("shared").alias("k"))
     entries = entries.select("h", "label", "comp", "open", "s", "need", F.col("x.token").alias("token"), F.expr("k - p").alias("rest"))
@@ -481,11 +493,11 @@ def _paired_links(rows: DataFrame, comps: DataFrame, num: int, den: int) -> Data
         .select("u", "v")
         .distinct()
     )
-    x = rows.select(F.col("h").alias("u"), F.col("d").alias("du"), F.col("n").alias("nu"))
-    y = rows.select(F.col("h").alias("v"), F.col("d").alias("dv"), F.col("n").alias("nv"))
+    x = left.select(F.col("h").alias("u"), F.col("d").alias("du"), F.col("n").alias("nu"))
+    y = left.select(F.col("h").alias("v"), F.col("d").alias("dv"), F.col("n").alias("nv"))
     exact = f"(size(du) + size(dv) - 2 * size(array_intersect(du, dv))) * {den} <= (nu + nv) * {num}"
     found = written(pairs.join(x, "u").join(y, "v").filter(exact).select("u", "v"), "links")
-    forget(rows)
+    forget(left)
     forget(entries)
     return found
 
@@ -532,15 +544,13 @@ def _groups(docs: DataFrame, text_col: str, id_col: str, width: int, percent: in
 
     ratio = Fraction(100 - percent, 100 + percent)
     num, den = ratio.numerator, ratio.denominator
-    rows, links, behind = _derived_links(diff, num, den)
+    left, links = _derived_links(diff, num, den)
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
     comps = components(edges)
     tidy(spark)
-    more = _paired_links(rows, comps, num, den)
-    for table in behind:
-        forget(table)
+    more = _paired_links(left, comps, num, den)
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     for table in [*links, more]:
