@@ -2,19 +2,22 @@
 
 Texts are reduced to lower-case words joined by single spaces.  A text without any
 keyword is done; otherwise each rule whose own keywords occur runs its regular
-expression.  Keywords are read off the expressions, so that no match is without one.  Detections are taken by priority, then length, then place; one that lies
-inside the interval of a detection already taken is suppressed, so "gnu lesser general
-public license" does not also report the general one, nor a title inside a notice.
+expression.  Keywords are read off the expressions, so that no match is without one.
+Detections are taken by priority, then length, then place; one that lies inside the
+interval of a detection already taken is suppressed, so "gnu lesser general public
+license" does not also report the general one, nor a title inside a notice.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import re
 from dataclasses import dataclass
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,10 +232,15 @@ class LicenseScanner:
                 found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
         found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
         kept: list[tuple[int, int, Rule]] = []
+        starts: list[int] = []  # of kept ranges that no other kept one contains, ascending, as their ends are
+        ends: list[int] = []
         for a, b, rule in found:
-            if not any(x <= a and b <= y and (x, y, r.label) != (a, b, rule.label) for x, y, r in kept):
-                if not any((x, y, r.label) == (a, b, rule.label) for x, y, r in kept):
-                    kept.append((a, b, rule))
+            at = bisect.bisect_right(starts, a)
+            if at and ends[at - 1] >= b:
+                continue
+            kept.append((a, b, rule))
+            inside = slice(bisect.bisect_left(starts, a), bisect.bisect_right(ends, b))
+            starts[inside], ends[inside] = [a], [b]
         return kept
 
     def scan(self, text: str | None) -> dict:
@@ -240,7 +248,9 @@ class LicenseScanner:
         joined = b" " + b" ".join(words) + b" "
         base = self.base_places(joined)
         kept = self.detections(joined)
-        starts = [joined.count(b" ", 0, at + 1) - 1 for at, _ in base]
+        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20) if base or kept else np.zeros(0, np.int64)
+        starts = (np.searchsorted(spaces, [at for at, _ in base], "right") - 1).tolist()
+        begin, end = (np.searchsorted(spaces, [d[k] for d in kept]).tolist() for k in (0, 1))
         labels = {label for _, label in base}
         return {
             "n_words": len(words),
@@ -251,7 +261,7 @@ class LicenseScanner:
             "labels": ",".join(sorted(labels | {r.label for _, _, r in kept})),
             "score": 1.0 if base else max((r.score for _, _, r in kept), default=0.0),
             "detections": [
-                {"label": r.label, "priority": r.priority, "start": joined.count(b" ", 0, a) - 1, "end": joined.count(b" ", 0, b)} for a, b, r in kept
+                {"label": r.label, "priority": r.priority, "start": a - 1, "end": b} for a, b, (_, _, r) in zip(begin, end, kept)
             ],
         }
 

@@ -252,6 +252,31 @@ def test_rules_and_suppression():
     assert scan("we ate apples under the tree") == ""
 
 
+def brute_kept(s, joined):
+    found = [(m.start(), m.end(), rule) for rule in s.rules for m in rule.pattern.finditer(joined)]
+    kept = []
+    for a, b, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(x <= a and b <= y for x, y, _ in kept):
+            kept.append((a, b, rule))
+    return kept
+
+
+def test_suppression_against_all_pairs_and_on_long_texts():
+    s, r = licenses.LicenseScanner(), random.Random(4)
+    parts = "spdx license identifier mit|gnu lesser general public license v2 1|gnu general public license version 3|licensed under the|apache license version 2 0|or|this|gpl 3|license|bsd 3 clause license|mit license|under the mit license".split("|")
+    for _ in range(60):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(1, 40)))
+        joined = f" {text} ".encode()
+        expected = brute_kept(s, joined)
+        assert s.detections(joined) == expected
+        words = text.split()
+        found = s.scan(text)
+        assert [(d["start"], d["end"]) for d in found["detections"]] == [(len(joined[:a].split()), len(joined[:b].split())) for a, b, _ in expected]
+        assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"], found["base_labels"]) == brute_base(" ".join(words))
+    long = s.scan(" ".join(r.choice(parts) for _ in range(60_000)))
+    assert len(long["detections"]) > 10_000
+
+
 def examples(part, r):
     """A string that a parsed pattern matches."""
     out = ""
