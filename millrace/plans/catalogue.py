@@ -229,7 +229,8 @@ register("box_plot", lambda li: charts.box_plot(li, "l_quantity"), "lineitem", f
 register("box_plot_by_flag", lambda li: charts.box_plot(li, "l_quantity", "l_returnflag"), "lineitem", f"SELECT l_returnflag AS category, {_BOX} FROM lineitem GROUP BY 1")
 register("target_distribution", lambda x: charts.target_distribution(x, "toxic"), "labels", "SELECT CAST(toxic AS VARCHAR) AS value, count(*) AS count FROM labels GROUP BY 1")
 register("category_comparison", lambda o: charts.category_comparison(o, "o_orderstatus", "o_totalprice"), "orders", "SELECT o_orderstatus AS category, count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
-register("scatter_points", lambda p: charts.scatter(p, "p_size", "p_retailprice"), "part", None)
+register("scatter_points", lambda p: charts.scatter(p, "p_size", "p_retailprice"), "part",
+    "SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL")
 register("heatmap", lambda o: charts.correlation_heatmap(o.select("o_totalprice", F.dayofmonth("o_orderdate").alias("day"), F.month("o_orderdate").alias("month"))), "orders",
     " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({x}, {y}), 4) AS r FROM orders" for a, x, b, y in (
         ("o_totalprice", "o_totalprice", "day", "day(o_orderdate)"), ("o_totalprice", "o_totalprice", "month", "month(o_orderdate)"), ("day", "day(o_orderdate)", "month", "month(o_orderdate)"))))
@@ -261,12 +262,6 @@ for _t, _cs in (("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal",
         _t,
         " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct, count(DISTINCT lower(trim(CAST({c} AS VARCHAR)))) AS folded FROM {_t}""" for c in _cs),
     )
-register(
-    "profile_counts",
-    lambda c: profiles.column_counts(c.select("c_custkey", "c_acctbal", _dirty("c").alias("c"))).select("column", "n", "missing", "null_like", "spaced", "negative"),
-    "customer",
-    None,
-)
 register(
     "top_values",
     lambda p: profiles.top_values(p, ["p_brand", "p_type"], 3),
@@ -296,6 +291,17 @@ _DIRTY_SQL = """CASE c_custkey % 6 WHEN 0 THEN '  ' || c_mktsegment || ' ' WHEN
 WHEN 4 THEN c_mktsegment || '  x' ELSE c_mktsegment END"""
 _STRIP = r"regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
 _NULLS = ", ".join("'" + t.replace("'", "''") + "'" for t in C.NULL_TOKENS)
+register(
+    "profile_counts",
+    lambda c: profiles.column_counts(c.select("c_custkey", "c_acctbal", _dirty("c").alias("c"))).select("column", "n", "missing", "null_like", "spaced", "negative"),
+    "customer",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS missing, 0::BIGINT AS null_like, 0::BIGINT AS spaced, count(*) FILTER ({c} < 0) AS negative FROM customer"""
+        for c in ("c_custkey", "c_acctbal")
+    )
+    + f""" UNION ALL SELECT 'c', count(*), count(*) - count(v), count(*) FILTER (lower(trim(v)) IN ({_NULLS})), count(*) FILTER (v <> {_STRIP.format(c='v')}),
+    count(*) FILTER (TRY_CAST(v AS DOUBLE) < 0) FROM (SELECT {_DIRTY_SQL} AS v FROM customer)""",
+)
 register("strip_whitespace", lambda c: prepare.strip_whitespace(c.select("c_custkey", _dirty("c").alias("v"))), "customer", f"SELECT c_custkey, {_STRIP.format(c=_DIRTY_SQL)} AS v FROM customer")
 register("null_like", lambda c: prepare.normalize_null_like(c.select("c_custkey", _dirty("c").alias("v"))), "customer",
     f"WITH d AS (SELECT c_custkey, {_DIRTY_SQL} AS v FROM customer) SELECT c_custkey, CASE WHEN lower(trim(v)) IN ({_NULLS}) THEN NULL ELSE v END AS v FROM d")
