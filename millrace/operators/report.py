@@ -123,6 +123,57 @@ def caveats(report: dict, most: int = 8) -> list[str]:
     return out[:most]
 
 
+# -- what a session keeps, in any store that Spark reads --------------------------------------
+
+
+def session_folder(folder: str, session_id: str) -> str:
+    """The folder of one session below ``folder``; the identifier must be a plain name, as the folder can be deleted."""
+    if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", session_id or ""):
+        raise ValueError(f"Invalid session identifier: {session_id!r}")
+    return f"{folder.rstrip('/')}/{session_id}"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def keep_report(spark: SparkSession, folder: str, report: dict) -> dict:
+    """Merges a report into the one that its session keeps, and keeps the result."""
+    merged = plain(merge_reports(get_report(spark, folder, report["session_id"]), report))
+    system, place = _place(spark, f"{session_folder(folder, report['session_id'])}/report.json")
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(json.dumps(merged, indent=2, ensure_ascii=False).encode("utf-8")))
+    finally:
+        out.close()
+    return merged
+
+
+def get_report(spark: SparkSession, folder: str, session_id: str) -> dict | None:
+    """The report that a session keeps, or None."""
+    path = f"{session_folder(folder, session_id)}/report.json"
+    system, place = _place(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if system.exists(place) else None
+
+
+def agent_context(spark: SparkSession, folder: str, session_id: str) -> str:
+    """What was prepared and what to distrust, in a few lines; empty without a report."""
+    report = get_report(spark, folder, session_id)
+    if report is None:
+        return ""
+    tables = [f"- {d['table_name']}: {d['rows']} rows, {len(d['columns'])} columns, from {d['source_file']}" for d in report["datasets"]]
+    joins = [f"- {n['table_name']}: joined, {n['rows']} rows" for n in report["integration"] if n["built"]]
+    known = [f"- {c}" for c in caveats(report)]
+    return "\n".join(["Prepared tables:", *tables, *joins, *(["Caveats:", *known] if known else [])])
+
+
+def delete_session_artifacts(spark: SparkSession, folder: str, session_id: str) -> bool:
+    """Deletes all that a session keeps; False if there is nothing."""
+    system, place = _place(spark, session_folder(folder, session_id))
+    return system.delete(place, True)
+
+
 # -- analysis reports -------------------------------------------------------------------------
 
 

@@ -267,6 +267,18 @@ def test_preparation_of_files(spark, tmp_path):
     assert again["summary"] == out["report"]["summary"] and len(again["errors"]) == 1 and report.caveats(again)
     json.dumps(again)
 
+    root = str(tmp_path / "sessions")
+    assert report.get_report(spark, root, "s1") is None and report.agent_context(spark, root, "s1") == "" and not report.delete_session_artifacts(spark, root, "s1")
+    report.keep_report(spark, root, out["report"])
+    report.keep_report(spark, root, out["report"] | {"session_id": "s2"})
+    assert report.keep_report(spark, root, out["report"])["summary"] == out["report"]["summary"] == report.get_report(spark, root, "s1")["summary"]
+    lines = report.agent_context(spark, root, "s1").splitlines()
+    assert any(x.startswith("- orders: ") for x in lines) and any(x.startswith("- orders_with_customers: joined, 240") for x in lines) and "Caveats:" in lines
+    assert report.delete_session_artifacts(spark, root, "s1") and report.get_report(spark, root, "s1") is None and report.get_report(spark, root, "s2")
+    for bad in ("", ".", "..", "a/b", "../s2"):
+        with pytest.raises(ValueError):
+            report.delete_session_artifacts(spark, root, bad)
+
 
 def test_tools(spark, tmp_path):
     rows = [(k, ["a", "b", "c"][k % 3], float(k % 17), datetime.date(2024, 1 + k % 6, 1 + k % 28), "yes" if k % 4 == 0 else "no") for k in range(120)]
