@@ -34,10 +34,15 @@ def n_words(text: Column) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, _STARTS, ""))).cast("long")
 
 
-def shuffle_key(id_col: str, text_col: str, seed: str) -> Column:
-    """A digest by which documents are shuffled: 32 hexadecimal digits of seed, identifier and text."""
-    parts = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))]
-    return F.md5(F.concat_ws(":", *parts))
+def _source_key(source_col: str) -> Column:
+    """A string that sorts like the source, null last."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t"))
+
+
+def shuffle_key(id_col: str, text_col: str, source_col: str, seed: str) -> Column:
+    """A digest by which documents are shuffled: 32 hexadecimal digits of seed, source, identifier and text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]
+    return F.md5(F.concat_ws(":", F.lit(seed), _source_key(source_col), *parts))
 
 
 def mix_sources(
@@ -68,9 +73,9 @@ def mix_sources(
         docs.select(
             F.col(id_col).alias("_id"),
             F.col(source_col).alias("_source"),
-            F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")).alias("_s"),
+            _source_key(source_col).alias("_s"),
             n_words(F.coalesce(F.col(text_col), F.lit(""))).alias("_size"),
-            shuffle_key(id_col, text_col, seed).alias("_h"),
+            shuffle_key(id_col, text_col, source_col, seed).alias("_h"),
         ),
         "mix-docs",
     )
@@ -107,7 +112,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         F.col("key").alias("_key"),
         F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: F.col("finish") + e * step)).alias("mix_finish"),
     )
-    rows = docs.drop("mix_finish").withColumn("_key", shuffle_key(id_col, text_col, options.get("seed", ""))).dropDuplicates(["_key"])
+    rows = docs.drop("mix_finish").withColumn("_key", shuffle_key(id_col, text_col, source_col, options.get("seed", ""))).dropDuplicates(["_key"])
     return rows.join(times, "_key").drop("_key")
 
 

@@ -180,7 +180,7 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce('s' || source, 't') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
+         md5(':' || coalesce('s' || source, 't') || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
   FROM documents
 ),
 src AS (

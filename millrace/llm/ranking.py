@@ -44,7 +44,7 @@ def top_places(
     share it and all of them return.  Adds ``place`` and ``tied``, the group's lines with
     the same pair, and for "position" also ``pos`` (the same number); input columns of these
     names are replaced.  Null group values form a group of their own; other columns are
-    carried along; an empty table gives an empty one.  Pair values may span 10**38 pairs together.
+    carried along; an empty table gives an empty one.  Pair values may span 10**31 pairs together.
     """
     if place not in ("position", "rank", "dense") or len(pair) != 2 or {way for _, way in pair} - {"asc", "desc"}:
         raise ValueError(f"unknown place {place!r} or pair {pair!r}")
@@ -54,10 +54,10 @@ def top_places(
     coded = lines.select(
         F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)]).alias("_g"),
         codec.code.alias("_code"),
-        *[F.col(c).alias(name) for c, name in rest.items()],
+        *[F.col(f"`{c}`").alias(name) for c, name in rest.items()],
     )
     pairs = written(coded.groupBy("_g", "_code").agg(F.count(F.lit(1)).alias("_n")), "rank-pairs")
-    best = _best_pairs(pairs, codec.bits, k, dense=place == "dense")
+    best = _best_pairs(pairs, codec, k, dense=place == "dense")
     found = written(coded.join(best, ["_g", "_code"]), "rank-lines")
 
     if place == "position":
@@ -87,40 +87,51 @@ class _codec:
         widths = [hi - lo + 2 for lo, hi in self.ends.values()]
         self.second = names[1]
         self.radix, space = widths[1], widths[0] * widths[1]
-        if space >= 10**38:
-            raise ValueError(f"{names} span more than 10**38 pairs")
+        if space >= 10**31:
+            raise ValueError(f"{names} span more than 10**31 pairs")
         self.kind = "long" if space < 2**62 else "decimal(38,0)"
         self.bits = max(1, (space - 1).bit_length())
         digits = [self._digit(c) for c in names]
-        self.code = (digits[0] * F.lit(self.radix).cast(self.kind) + digits[1]).cast(self.kind)
+        self.code = (digits[0] * _whole(self.radix, self.kind) + digits[1]).cast(self.kind)
 
     def _digit(self, c: str) -> Column:
         lo, hi = self.ends[c]
         value = F.col(c).cast("long").cast(self.kind)
-        step = F.lit(hi).cast(self.kind) - value if self.ways[c] == "desc" else value - F.lit(lo).cast(self.kind)
+        step = _whole(hi, self.kind) - value if self.ways[c] == "desc" else value - _whole(lo, self.kind)
         return F.coalesce(step + 1, F.lit(0).cast(self.kind)).cast(self.kind)
 
     def decoded(self, c: str) -> Column:
         """A pair's value again, from its code."""
-        whole = F.expr(f"_code div {self.radix}")
-        digit = F.col("_code") % F.lit(self.radix).cast(self.kind) if c == self.second else whole
+        digit = F.col("_code") % _whole(self.radix, self.kind) if c == self.second else _quotient(F.col("_code"), self.radix, self.kind)
         lo, hi = self.ends[c]
-        value = F.lit(hi + 1).cast("decimal(38,0)") - digit if self.ways[c] == "desc" else digit + F.lit(lo - 1).cast("decimal(38,0)")
+        value = _whole(hi + 1) - digit if self.ways[c] == "desc" else digit + _whole(lo - 1)
         return F.when(digit > 0, value).cast(self.types[c])
 
 
-def _best_pairs(pairs: DataFrame, bits: int, k: int, *, dense: bool) -> DataFrame:
+def _whole(n: int, kind: str = "decimal(38,0)") -> Column:
+    """A number that may be longer than a long."""
+    return F.lit(str(n)).cast(kind)
+
+
+def _quotient(value: Column, n: int, kind: str) -> Column:
+    """The quotient without remainder, of either kind of code."""
+    if kind == "long":
+        return F.call_function("div", value, F.lit(n))
+    return ((value - value % _whole(n)) / _whole(n)).cast(kind)
+
+
+def _best_pairs(pairs: DataFrame, codec: "_codec", k: int, *, dense: bool) -> DataFrame:
     """The pairs of first places with their counts, the lines before them and the pairs before them."""
     weight = F.lit(1).cast("long") if dense else F.col("_n")
-    cut, shift = None, bits
+    cut, shift, kind = None, codec.bits, codec.kind
     while shift > 0:
         low = max(0, shift - LEVEL_BITS)
         if cut is None:
             rows = pairs.withColumn("_need", F.lit(k).cast("long")).withColumn("_rest", F.col("_code"))
         else:
-            inside = pairs.join(cut.filter("_open").select("_g", "_cut", "_need"), "_g").filter(f"_code div {2**shift} = _cut")
-            rows = inside.withColumn("_rest", F.expr(f"_code % {2**shift}"))
-        cells = rows.select("_g", "_need", F.expr(f"cast(_rest div {2**low} as long)").alias("_cell"), weight.alias("_w"))
+            inside = pairs.join(cut.filter("_open").select("_g", "_cut", "_need"), "_g").filter(_quotient(F.col("_code"), 2**shift, kind) == F.col("_cut"))
+            rows = inside.withColumn("_rest", F.col("_code") % _whole(2**shift, kind))
+        cells = rows.select("_g", "_need", _quotient(F.col("_rest"), 2**low, kind).cast("long").alias("_cell"), weight.alias("_w"))
         if low:
             cells = cells.groupBy("_g", "_need", "_cell").agg(F.sum("_w").alias("_w"))
         found = _search(cells, shift - low)
@@ -128,7 +139,7 @@ def _best_pairs(pairs: DataFrame, bits: int, k: int, *, dense: bool) -> DataFram
             cut = found.withColumnRenamed("_lo", "_cut")
         else:
             deeper = found.select("_g", "_lo", F.col("_need").alias("_left"), F.col("_open").alias("_more"))
-            scale = F.lit(2 ** (shift - low)).cast("decimal(38,0)")
+            scale = _whole(2 ** (shift - low))
             whole = F.col("_cut").cast("decimal(38,0)") * scale
             cut = cut.join(deeper, "_g", "left").select(
                 "_g",
