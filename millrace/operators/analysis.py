@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import grouped_quantiles, quantiles
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -40,25 +42,26 @@ def missing_values(df: DataFrame) -> DataFrame:
 def statistics(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max of the numeric columns, a row each."""
     columns = columns or numeric_columns(df)
+    q = quantiles(df, {c: F.col(f"`{c}`") for c in columns}, [0.25, 0.5, 0.75])
 
     def of(c: str) -> list:
         x = F.col(f"`{c}`").cast("double")
         r = lambda e: F.round(e, digits)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return [("count", F.count(x)), ("mean", r(F.avg(x))), ("std", r(F.stddev_samp(x))), ("min", r(F.min(x))), ("q", q), ("max", r(F.max(x)))]
+        quarters = [(n, r(F.lit(v).cast("double"))) for n, v in zip(("q25", "q50", "q75"), q[c][1], strict=True)]
+        return [("count", F.count(x)), ("mean", r(F.avg(x))), ("std", r(F.stddev_samp(x))), ("min", r(F.min(x))), *quarters, ("max", r(F.max(x)))]
 
-    out = unpivoted(df, {c: of(c) for c in columns})
-    return out.select("column", "count", "mean", "std", "min", *[F.round(F.col("q")[k], digits).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "max")
+    return unpivoted(df, {c: of(c) for c in columns})
 
 
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """analyze_column for a number: distinct and missing values, mean, median, min, max."""
     x = F.col(f"`{column}`")
+    median = quantiles(df, {column: x}, [0.5])[column][1][0]
     return df.agg(
         F.count_distinct(x).alias("unique_values"),
         F.count_if(x.isNull()).alias("missing_values"),
         F.round(F.avg(x), 4).alias("mean"),
-        F.round(F.percentile(x, 0.5), 4).alias("median"),
+        F.round(F.lit(median).cast("double"), 4).alias("median"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     )
@@ -80,7 +83,7 @@ def compare_categories(df: DataFrame, category: str, target: str, digits: int =
     )
 
 
-AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "median": F.median}
+AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "median": None}
 
 
 def rank_categories(df: DataFrame, category: str, metric: str, aggregation: str = "sum", top_n: int = 5) -> DataFrame:
@@ -90,8 +93,11 @@ def rank_categories(df: DataFrame, category: str, metric: str, aggregation: str
     if metric not in numeric_columns(df):
         raise ValueError(f"Column '{metric}' is not numeric.")
     n = max(1, min(25, top_n))
-    value = AGGREGATES[aggregation](f"`{metric}`").cast("double")
-    grouped = df.filter(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").alias("category")).agg(F.round(value, 4).alias("value")).filter("value is not null")
+    rows = df.filter(F.col(f"`{category}`").isNotNull()).select(F.col(f"`{category}`").alias("category"), F.col(f"`{metric}`").alias("metric"))
+    if aggregation == "median":
+        grouped = grouped_quantiles(rows, ["category"], "metric", [0.5]).select("category", F.round(F.col("q")[0], 4).alias("value"))
+    else:
+        grouped = rows.groupBy("category").agg(F.round(AGGREGATES[aggregation]("metric").cast("double"), 4).alias("value")).filter("value is not null")
     parts = []
     for kind, order in (("top", F.desc("value")), ("bottom", F.asc("value"))):
         best = grouped.orderBy(order, F.asc("category")).limit(n)
@@ -116,11 +122,10 @@ def strongest_correlations(df: DataFrame, columns: list[str] | None = None, top:
 def outlier_counts(df: DataFrame, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
     """(column, outliers) beyond 1.5 interquartile ranges, of the numeric columns, the first ``most`` if that is given."""
     columns = (columns or numeric_columns(df))[:most]
-    q = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{k}") for k, c in enumerate(columns)])
-    joined = df.select(*columns).crossJoin(F.broadcast(q))  # q is one row
+    q = quantiles(df, {c: F.col(f"`{c}`") for c in columns}, [0.25, 0.75])
 
-    def beyond(k: int, c: str):
-        low, high = F.col(f"q{k}")[0], F.col(f"q{k}")[1]
+    def beyond(c: str):
+        low, high = (F.lit(v).cast("double") for v in q[c][1])
         return F.count_if((F.col(f"`{c}`") < low - 1.5 * (high - low)) | (F.col(f"`{c}`") > high + 1.5 * (high - low)))
 
-    return unpivoted(joined, {c: [("outliers", beyond(k, c))] for k, c in enumerate(columns)})
+    return unpivoted(df, {c: [("outliers", beyond(c))] for c in columns})

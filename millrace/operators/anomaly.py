@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .analysis import numeric_columns
+from .quantiles import quantiles
 
 
 def bounds(df: DataFrame, column: str) -> DataFrame:
     """One row: n, q1, q3, mean, std, low, high; fences need four values and a spread."""
     x = F.col(f"`{column}`").cast("double")
-    s = df.agg(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
-    s = s.select("n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "mean", "std")
+    q1, q3 = (F.lit(v).cast("double") for v in quantiles(df, {column: x}, [0.25, 0.75])[column][1])
+    s = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).select("n", q1.alias("q1"), q3.alias("q3"), "mean", "std")
     usable = (F.col("n") >= 4) & (F.col("q3") != F.col("q1"))
     return s.select(
         "*",
@@ -25,7 +26,11 @@ def bounds(df: DataFrame, column: str) -> DataFrame:
 
 def univariate(df: DataFrame, column: str, z: float = 3.0) -> DataFrame:
     """The rows beyond a fence or more than ``z`` deviations from the mean, with is_iqr and is_z."""
-    b = bounds(df, column).select("low", "high", "mean", "std", "n")
+    return _beyond(df, column, bounds(df, column), z)
+
+
+def _beyond(df: DataFrame, column: str, b: DataFrame, z: float) -> DataFrame:
+    b = b.select("low", "high", "mean", "std", "n")
     x = F.col(f"`{column}`").cast("double")
     rows = df.crossJoin(F.broadcast(b))  # b is one row
     iqr = F.coalesce((x < F.col("low")) | (x > F.col("high")), F.lit(False))
@@ -36,8 +41,9 @@ def univariate(df: DataFrame, column: str, z: float = 3.0) -> DataFrame:
 def summary(df: DataFrame, column: str) -> DataFrame:
     """One row: total_rows (that have a value), anomaly_count, anomaly_rate_percent, lower and upper bound."""
     total = df.agg(F.count(F.col(f"`{column}`").cast("double")).alias("total_rows"))
-    found = univariate(df, column).agg(F.count(F.lit(1)).alias("anomaly_count"))
-    b = bounds(df, column).select(F.round("low", 4).alias("lower_bound"), F.round("high", 4).alias("upper_bound"))
+    fences = bounds(df, column)
+    found = _beyond(df, column, fences, 3.0).agg(F.count(F.lit(1)).alias("anomaly_count"))
+    b = fences.select(F.round("low", 4).alias("lower_bound"), F.round("high", 4).alias("upper_bound"))
     return total.crossJoin(found).crossJoin(b).withColumn("anomaly_rate_percent", F.round(F.try_divide(F.col("anomaly_count") * 100.0, "total_rows"), 2))
 
 

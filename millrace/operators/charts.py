@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .analysis import compare_categories, correlations, numeric_columns, value_counts
+from .quantiles import grouped_quantiles, quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -39,9 +40,14 @@ def bar_chart(df: DataFrame, column: str, top: int = 15) -> DataFrame:
 
 def box_plot(df: DataFrame, column: str, category: str | None = None) -> DataFrame:
     """median, q1 and q3, by category if one is given."""
-    q = F.percentile(F.col(f"`{column}`"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    grouped = df.filter(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").alias("category")).agg(q) if category else df.agg(q)
-    return grouped.select(*(["category"] if category else []), *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    probs, names = [0.25, 0.5, 0.75], ("q1", "median", "q3")
+    if category is None:
+        values = quantiles(df, {column: F.col(f"`{column}`")}, probs)[column][1]
+        return df.sparkSession.createDataFrame([tuple(values)], "q1 double, median double, q3 double").select(*[F.round(n, 4).alias(n) for n in names])
+    grouped = df.filter(F.col(f"`{category}`").isNotNull()).select(F.col(f"`{category}`").alias("category"), F.col(f"`{column}`").alias("value"))
+    found = grouped_quantiles(grouped, ["category"], "value", probs).select("category", "q")
+    found = grouped.select("category").distinct().join(found, "category", "left")
+    return found.select("category", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(names)])
 
 
 def identifier_columns(df: DataFrame) -> list[str]:

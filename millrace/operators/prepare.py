@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..functions import names as N
 from .analysis import NUMERIC
 from .profile import ColumnProfile, TableProfile, plain, profile
+from .quantiles import quantiles
 
 CONVERT_SHARE, DATE_SHARE = 0.95, 0.5
 MISSING_LIMIT, DISCRETE, MODE_SHARE = 0.40, 12, 0.5
@@ -123,8 +124,7 @@ def imputation(df: DataFrame, p: dict[str, ColumnProfile]) -> dict[str, object]:
 
     medians = [c for c in numeric if may(c) and p[c].distinct > DISCRETE]
     if medians:
-        row = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in medians]).first()
-        out |= {c: row[c] for c in medians}
+        out |= {c: q[0] for c, (_, q) in quantiles(df, {c: F.col(c) for c in medians}, [0.5]).items()}
     modes = [c for c in numeric if may(c) and p[c].distinct <= DISCRETE] + [c for c in other if may(c) and p[c].logical_type in ("categorical", "boolean")]
     for c in modes:
         counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
@@ -177,9 +177,8 @@ def repair_ages(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if not columns:
         return df
     ok = lambda c: F.col(c).between(AGE_LOW, AGE_HIGH)
-    m = df.agg(*[F.percentile(F.when(ok(c), F.col(c)), 0.5).alias(f"_m_{c}") for c in columns])
-    joined = df.crossJoin(F.broadcast(m))  # one row
-    return joined.withColumns({c: F.when(F.col(c).isNull() | ok(c), F.col(c)).otherwise(F.col(f"_m_{c}").cast(df.schema[c].dataType)) for c in columns}).select(*df.columns)
+    m = {c: q[0] for c, (_, q) in quantiles(df, {c: F.when(ok(c), F.col(c)) for c in columns}, [0.5]).items()}
+    return df.withColumns({c: F.when(F.col(c).isNull() | ok(c), F.col(c)).otherwise(F.lit(m[c]).cast(df.schema[c].dataType)) for c in columns})
 
 
 def invalid_values(df: DataFrame) -> DataFrame:
