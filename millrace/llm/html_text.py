@@ -59,29 +59,118 @@ class Block:
         self.text, self.path, self.names, self.link = text, path, names, link
 
 
+def slot_of(kind: str, word: str, dim: int) -> int:
+    return zlib.crc32(f"{kind}:{word}".encode()) % dim
+
+
+class Bag:
+    """Words that are open, as one of each hash slot: all that the features see of them, however many there are."""
+
+    def __init__(self, kind: str):
+        self.kind, self.open = kind, {}
+
+    def add(self, word: str) -> None:
+        own = self.open.setdefault(slot_of(self.kind, word, PATH_DIM), {})
+        own[word] = own.get(word, 0) + 1
+
+    def remove(self, word: str) -> None:
+        slot = slot_of(self.kind, word, PATH_DIM)
+        own = self.open[slot]
+        if own[word] > 1:
+            own[word] -= 1
+        else:
+            del own[word]
+            if not own:
+                del self.open[slot]
+
+    def words(self) -> tuple[str, ...]:
+        return tuple(next(iter(own)) for own in self.open.values())
+
+
+class Open:
+    """The open elements of a page; where the last of a tag stands is known without a search."""
+
+    def __init__(self):
+        self.entries: list[tuple[str, tuple[str, ...]] | None] = []  # None: ended out of order
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.foreign: list[int] = []
+        self.tags, self.names = Bag("tag"), Bag("name")
+        self.seen: tuple[tuple[str, ...], tuple[str, ...]] | None = None
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def tag(self, k: int) -> str:
+        return self.entries[k][0]
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        k = len(self.entries)
+        self.entries.append((tag, names))
+        self.places.setdefault(tag, []).append(k)
+        if tag in FOREIGN:
+            self.foreign.append(k)
+        if tag not in INLINE:
+            self.blocks.append(k)
+            self.tags.add(tag)
+            self.seen = None
+        for n in names:
+            self.names.add(n)
+            self.seen = None
+
+    def end(self, k: int) -> None:
+        """Ends the one element at ``k``, the last of its tag."""
+        tag, names = self.entries[k]
+        self.entries[k] = None
+        self.places[tag].pop()
+        if tag in FOREIGN:
+            self.foreign.pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+            self.tags.remove(tag)
+            self.seen = None
+        for n in names:
+            self.names.remove(n)
+            self.seen = None
+        while self.entries and self.entries[-1] is None:
+            self.entries.pop()
+
+    def cut(self, k: int) -> None:
+        """Ends the element at ``k`` and all in it."""
+        while len(self.entries) > k:
+            self.end(len(self.entries) - 1)
+
+    def path(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """The open tags but inline ones, the innermost last, and the open names; one of each slot."""
+        if self.seen is None:
+            inner = (self.tag(self.blocks[-1]),) if self.blocks else ()
+            self.seen = (*self.tags.words(), *inner), self.names.words()
+        return self.seen
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks with text, in page order.
+    """The leaf blocks with text, in page order, in time that grows with the page only.
 
     Scripts, styles, titles, form controls and comments are none.  Parts of graphics and
     formulas stay in the line they stand in, a space between them.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Open()
     pieces: list[str] = []
     linked = [0]
+    unclosed: set[str] = set()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            path = tuple(t for t, _ in stack if t not in INLINE)
-            names = tuple(n for _, ns in stack for n in ns)
-            out.append(Block(text, path, names, min(1.0, linked[0] / len(text))))
+            out.append(Block(text, *stack.path(), min(1.0, linked[0] / len(text))))
         pieces.clear()
         linked[0] = 0
 
     def keep(piece: str) -> None:
         pieces.append(piece)
-        if any(t == "a" for t, _ in stack):
+        if stack.last("a") >= 0:
             linked[0] += len(piece.strip())
 
     page = page or ""
@@ -108,41 +197,36 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         at = m.end()
         closing, tag, rest = m[1], m[2].lower(), m[3]
-        foreign = next((k for k, (t, _) in enumerate(stack) if t in FOREIGN), None)
+        foreign = stack.foreign[0] if stack.foreign else None
         if foreign is not None and tag in BREAKING:
-            del stack[foreign:]
+            stack.cut(foreign)
         elif foreign is not None and tag not in RAW and tag not in INLINE:
             pieces.append(" ")
             if closing:
-                for k in range(len(stack) - 1, foreign, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if stack.last(tag) > foreign:
+                    stack.cut(stack.last(tag))
             elif not rest.endswith("/"):
-                stack.append((tag, ()))
+                stack.push(tag, ())
             continue
         if closing:
-            if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if tag in FOREIGN:  # its open parts end with it
-                            del stack[k:]
-                        else:
-                            del stack[k]
-                        break
-                    if stack[k][0] not in INLINE and tag not in FOREIGN:
-                        break
-                continue
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            k = stack.last(tag)
+            if tag in FOREIGN:  # its open parts end with it
+                if k >= 0:
+                    stack.cut(k)
+            elif tag in INLINE:
+                if k > (stack.blocks[-1] if stack.blocks else -1):
+                    stack.end(k)
+            else:
+                flush()
+                if k >= 0:
+                    stack.cut(k)
             continue
         if tag in RAW and foreign is not None and rest.endswith("/"):
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            if stop is None:  # nor is there one further on
+                unclosed.add(tag)
             at = end if stop is None and tag in ("script", "style", "title", "textarea") else at if stop is None else stop.end()
             continue
         if tag == "br":
@@ -159,15 +243,10 @@ def blocks_of(page: str | None) -> list[Block]:
             flush()
             # A block start ends an open paragraph; list items, cells and options end their like.
             like = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name == "p" or name in like:
-                    del stack[k:]
-                    break
-                if name not in INLINE:
-                    break
+            if stack.blocks and (inner := stack.tag(stack.blocks[-1])) and (inner == "p" or inner in like):
+                stack.cut(stack.blocks[-1])
         if not rest.endswith("/"):
-            stack.append((tag, names))
+            stack.push(tag, names)
     flush()
     return out
 
@@ -183,7 +262,7 @@ class Slots(dict):
         if key not in self:
             if len(self) > 200_000:
                 self.clear()
-            self[key] = zlib.crc32(f"{kind}:{word}".encode()) % dim
+            self[key] = slot_of(kind, word, dim)
         return self[key]
 
     def path(self, path: tuple[str, ...], names: tuple[str, ...]) -> list[int]:

@@ -75,3 +75,25 @@ def test_formulas_and_fallbacks_are_kept():
     assert texts("<p>a<noscript>b</noscript></p><object data=x><p>c</p></object><iframe src=y>d</iframe><template><p>e</p></template>") == ["ab", "c", "d", "e"]
     assert texts("<p>a <svg><g><text>b<p>c</p><div>d</div></svg>e") == ["a b", "c", "d", "e"]
     assert texts("<form><textarea>a</textarea><select><option>b</select></form><script>c</script><p>d") == ["d"]
+
+
+def test_blocks_of_long_pages_take_time_in_proportion():
+    made = {
+        "unclosed": "<b>x" * 250_000, "nested": "<div>x" * 170_000, "quotes": '<a "' * 250_000, "options": "<option>x" * 110_000, "ends": "<b>" * 90_000 + "</i>" * 90_000 + "</b>y" * 90_000,
+        "out of order": "<i class=q>" * 20_000 + "</b><p>x" * 60_000, "own tags": "".join(f"<t{i}>x" for i in range(100_000)), "graphics": "<svg><g>x" * 100_000,
+    }
+    import time
+
+    for name, page in made.items():
+        began = time.perf_counter()
+        H.blocks_of(page)
+        assert time.perf_counter() - began < 20, name
+
+
+def test_paths_hold_what_is_open():
+    blocks = H.blocks_of("<div class='side box'><ul><li>a<li>b</ul>c<b class=x>d</div><p>e</b>f<section hidden>g")
+    seen = [(b.text, set(b.path), b.path[-1:], set(b.names)) for b in blocks]
+    assert seen == [
+        ("a", {"div", "ul", "li"}, ("li",), {"side", "box"}), ("b", {"div", "ul", "li"}, ("li",), {"side", "box"}), ("cd", {"div"}, ("div",), {"side", "box", "x"}),
+        ("ef", {"p"}, ("p",), set()), ("g", {"section"}, ("section",), {"hidden"}),
+    ]
