@@ -1,9 +1,9 @@
 """Chat formatting with linked tool calls (DataFrame functions only).
 
 Calls and results meet in a hash join on (conversation, call identifier).  Calls that
-refer to results of other calls are ordered topologically by peeling: a round resolves
-the calls whose references are all resolved, and its number is their level; what is
-left when a round resolves nothing refers to itself or to nothing.  Arguments are
+refer to results of other calls are ordered topologically: chains by doubling pointers, calls with several
+references by peeling, where a round resolves those whose references are all resolved;
+what is left when a round resolves nothing refers to itself or to nothing.  Arguments are
 checked against schemas one argument per row, and every message is serialised as
 canonical JSON: sorted keys, no white space.  The unit of output is the message with
 its place (level, turn), so a conversation of any length needs no task of its own.
@@ -11,47 +11,103 @@ its place (level, turn), so a conversation of any length needs no task of its ow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import forget, shared_dir, written
 
-#: How a call's arguments refer to another call's result.
-REFERENCE = r'"\$ref:([^"]+)"'
+#: How an argument's text refers to another call's result; what follows is that call's identifier.
+REFERENCE = "$ref:"
 #: Names of JSON types, and how the engine's variant type spells them.
 TYPES = {"integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
 
 
+def references(arguments: Column) -> Column:
+    """The identifiers that the arguments refer to: whole strings that begin with ``REFERENCE``, at any depth, but not keys.
+
+    They are read off the parsed arguments as written again, where nothing but \\\\ and \\" can stand before a quotation
+    mark inside a string; two control characters, which JSON always escapes, stand in for these.
+    """
+    text = F.to_json(F.try_parse_json(arguments))
+    text = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    strings = F.regexp_extract_all(text, F.lit('"[^"]*"(?:\\s*:)?'), F.lit(0))
+    whole = F.filter(strings, lambda x: F.startswith(x, F.lit(f'"{REFERENCE}')) & F.endswith(x, F.lit('"')))
+    plain = lambda x: F.replace(F.replace(x, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    value = lambda x: F.try_variant_get(F.try_parse_json(plain(x)), "$", "string")
+    return F.transform(whole, lambda x: F.substring(value(x), len(REFERENCE) + 1, 2**31 - 1))
+
+
 def call_levels(calls: DataFrame, results: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that refer to nothing, -1 where no order exists.
 
     A reference to a call without a result, to itself, in a circle, or to nothing has none.
+
+    Calls with a single reference are chains: pointers along them double their reach in every
+    round, so a chain of any length takes as many rounds as its length has bits.  Only calls with several
+    references are peeled, one layer of such calls in a round.
     """
-    refs = calls.select("conv_id", "call_id", F.explode(F.expr(f"regexp_extract_all(arguments, r'{REFERENCE}', 1)")).alias("needs")).distinct()
-    free = calls.select("conv_id", "call_id").distinct().join(refs.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-    levels = free.withColumn("level", F.lit(0))
-    left = written(refs, "refs")
-    if left.isEmpty():
-        return levels
-    answered = results.select("conv_id", F.col("call_id").alias("needs")).distinct()
-    left = left.join(answered.withColumn("has", F.lit(True)), ["conv_id", "needs"], "left")
-    stuck = left.filter("has is null").select("conv_id", "call_id").distinct()
-    left = written(left.drop("has").join(stuck, ["conv_id", "call_id"], "left_anti"), "refs")
-    levels, newest, level = written(levels, "levels"), free, 0
-    while True:
-        done = newest.select("conv_id", F.col("call_id").alias("needs"))
-        open_ = left.join(done, ["conv_id", "needs"], "left_anti")
-        ready = left.select("conv_id", "call_id").distinct().join(open_.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        level += 1
-        newest = written(ready.withColumn("level", F.lit(level)), "levels")
-        if newest.isEmpty():
+    key = ["conv_id", "call_id"]
+    known = calls.select(*key).distinct()
+    refs = calls.select(*key, F.explode(references(F.col("arguments"))).alias("needs")).distinct()
+    answered = results.select("conv_id", F.col("call_id").alias("needs")).distinct().join(known.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"])
+    refs = written(refs.join(answered.withColumn("has", F.lit(True)), ["conv_id", "needs"], "left"), "refs")
+    if refs.isEmpty():
+        return known.withColumn("level", F.lit(0))
+    degree = refs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("has", F.lit(False))).alias("whole"), F.min("needs").alias("needs"))
+    degree = written(degree, "degrees")
+    single = degree.filter("whole and n = 1").select(*key, F.col("needs").alias("root"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended"))
+    jumps = _doubled(written(single, "jumps"))
+    # what is not a chain any more: calls without references have level 0, broken ones none, the others are peeled
+    levels = known.join(degree.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    several = degree.filter("whole and n > 1").select(*key)
+    if not several.isEmpty():
+        ends = jumps.filter("ended").select("conv_id", F.col("call_id").alias("needs"), "root", "steps")
+        edges = refs.join(several, key).join(ends, ["conv_id", "needs"], "left")
+        edges = edges.select(*key, F.coalesce("root", "needs").alias("root"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+        levels = _peeled(written(edges.groupBy(*key, "root").agg(F.max("steps").alias("steps")), "edges"), levels)
+    at = levels.select("conv_id", F.col("call_id").alias("root"), F.col("level").alias("base"))
+    chained = jumps.filter("ended").join(at, ["conv_id", "root"]).select(*key, (F.col("base") + F.col("steps")).alias("level"))
+    found = levels.unionByName(chained)
+    return known.join(found, key, "left").select(*key, F.coalesce("level", F.lit(-1)).cast("int").alias("level"))
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Every call of a chain with the call that ends it, and how many steps away; ``ended`` is false on circles."""
+    longest = jumps.count()
+    for _ in range(longest.bit_length() + 1):
+        ahead = jumps.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("beyond"), F.col("steps").alias("more"))
+        moved = jumps.filter("not ended").join(ahead, ["conv_id", "root"], "left")
+        moved = moved.select(
+            "conv_id", "call_id", F.coalesce("beyond", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("beyond").isNull().alias("ended")
+        )
+        before, jumps = jumps, written(jumps.filter("ended").unionByName(moved), "jumps")
+        forget(before)
+        if jumps.filter("not ended").isEmpty():
             break
-        levels = levels.unionByName(newest)
-        left = written(open_.join(newest.drop("level"), ["conv_id", "call_id"], "left_anti"), "refs")
-    known = levels
-    return known.unionByName(
-        calls.select("conv_id", "call_id").distinct().join(known.drop("level"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(-1))
-    )
+    return jumps
+
+
+def _peeled(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """``levels`` with those of the calls of ``edges`` (call, root, steps) that can be ordered."""
+    key = ["conv_id", "call_id"]
+    folder = shared_dir(edges.sparkSession, f"levels-{uuid.uuid4().hex}")
+    rounds = 0
+    levels.write.parquet(f"{folder}/round={rounds}")
+    schema = levels.schema
+    left = edges.withColumn("at", F.lit(None).cast("long"))
+    while True:
+        newest = edges.sparkSession.read.schema(schema).parquet(f"{folder}/round={rounds}")
+        at = newest.select("conv_id", F.col("call_id").alias("root"), F.col("level").alias("found"))
+        left = left.join(at, ["conv_id", "root"], "left").select(*key, "root", "steps", F.coalesce("at", F.col("found") + F.col("steps")).alias("at"))
+        left = written(left, "edges")
+        ready = left.groupBy(*key).agg(F.bool_and(F.col("at").isNotNull()).alias("ready"), F.max("at").alias("level")).filter("ready").select(*key, "level")
+        rounds += 1
+        ready.write.parquet(f"{folder}/round={rounds}")
+        if edges.sparkSession.read.schema(schema).parquet(f"{folder}/round={rounds}").isEmpty():
+            return edges.sparkSession.read.schema(schema).parquet(*[f"{folder}/round={r}" for r in range(rounds)])
+        left = left.join(ready, key, "left_anti")
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -141,20 +197,29 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Plain turns read as tool messages: a user's turn calls "reply", the turn after it is its result."""
+    """Plain turns read as tool messages: a user's turn calls "reply", the turn after it is its result.
+
+    A call refers to the one two turns before, and so to the whole conversation.  It gives the numbers of words and characters,
+    the former as text where the latter is a multiple of five, and the latter not at all where the former is a multiple of
+    seven: such calls break the schema.
+    """
     call = F.col("role") == "user"
     result = F.col("role") == "assistant"
+    words = F.size(F.expr("regexp_extract_all(coalesce(text, ''), '[^ \\n]+', 0)"))
+    chars = F.char_length(F.coalesce("text", F.lit("")))
+    arguments = F.to_json(
+        F.struct(
+            F.when(chars % 5 != 0, words).alias("words"),
+            F.when(words % 7 != 0, chars).alias("chars"),
+            F.when(F.col("turn") >= 2, F.concat(F.lit(REFERENCE), F.concat_ws("-", "conv_id", F.col("turn") - 2))).alias("after"),
+        ),
+        {"ignoreNullFields": "true"},
+    )
+    as_text = F.concat(F.lit('{"words":"'), words.cast("string"), F.when(arguments == "{}", '"}').otherwise(F.concat(F.lit('",'), F.substr(arguments, F.lit(2)))))
     return conversations.select(
         "conv_id", "turn", "role", "text",
         F.when(call, "call").when(result, "result").alias("kind"),
         F.when(call, F.concat_ws("-", "conv_id", "turn")).when(result, F.concat_ws("-", "conv_id", F.col("turn") - 1)).alias("call_id"),
         F.when(call, F.lit("reply")).alias("name"),
-        F.when(
-            call,
-            F.format_string(
-                '{"words": %d, "chars": %d}',
-                F.size(F.expr("regexp_extract_all(coalesce(text, ''), '[^ \\\\n]+', 0)")),
-                F.char_length(F.coalesce("text", F.lit(""))),
-            ),
-        ).alias("arguments"),
+        F.when(call, F.when(chars % 5 == 0, as_text).otherwise(arguments)).alias("arguments"),
     )

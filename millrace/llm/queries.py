@@ -46,29 +46,37 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = chat_format.turns_as_calls(read(spark, sf_dir, "conversations"))
     schemas = spark.sql(
-        "SELECT * FROM VALUES ('reply', 'chars', 'integer', true), ('reply', 'words', 'integer', true) AS s(name, param, type, required)"
+        "SELECT * FROM VALUES ('reply', 'chars', 'integer', true), ('reply', 'words', 'integer', true), ('reply', 'after', 'string', false) AS s(name, param, type, required)"
     )
     return chat_format.format_chats(messages, schemas)
 
 
 OP2_SQL = """
 WITH m AS (
-  SELECT conv_id, turn, role, text,
+  SELECT conv_id, turn, role, text, coalesce(len(text), 0) AS chars, len(regexp_extract_all(coalesce(text, ''), '[^ \n]+')) AS words,
+         CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS pos,
          CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id,
          role IN ('user', 'assistant') AS tool
   FROM conversations
 ),
 link AS (
-  SELECT conv_id, call_id, bool_or(role = 'user') AS c, bool_or(role = 'assistant') AS r FROM m WHERE tool GROUP BY ALL
+  SELECT conv_id, call_id, pos, bool_or(role = 'user') AS c, bool_or(role = 'assistant') AS r FROM m WHERE tool GROUP BY ALL
+),
+lev AS (
+  SELECT conv_id, call_id, CASE WHEN pos < 2 THEN 0 WHEN count(*) FILTER (r) OVER w = pos // 2 THEN pos // 2 ELSE -1 END AS level
+  FROM link WHERE c WINDOW w AS (PARTITION BY conv_id, pos % 2 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
 SELECT m.conv_id, turn, role, m.call_id, CASE WHEN tool THEN coalesce(c AND r, false) END AS linked,
-       CASE WHEN c THEN 0 END::BIGINT AS level, '' AS errors,
+       CAST(level AS BIGINT) AS level,
+       CASE WHEN role = 'user' THEN concat_ws(',', CASE WHEN words % 7 = 0 THEN 'missing:chars' END, CASE WHEN chars % 5 = 0 THEN 'type:words' END) ELSE '' END AS errors,
        CASE role
-         WHEN 'user' THEN '{"arguments":{"chars":' || len(text) || ',"words":' || len(regexp_extract_all(text, '[^ \n]+'))
-              || '},"call_id":' || to_json(m.call_id) || ',"content":' || to_json(text) || ',"name":"reply","role":"user"}'
-         WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"result_of":' || to_json(m.call_id) || ',"role":"assistant"}'
+         WHEN 'user' THEN '{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":"$ref:' || m.conv_id || '-' || (turn - 2) || '",' ELSE '' END
+              || CASE WHEN words % 7 <> 0 THEN '"chars":' || chars || ',' ELSE '' END
+              || '"words":' || CASE WHEN chars % 5 = 0 THEN '"' || words || '"' ELSE CAST(words AS VARCHAR) END
+              || '},"call_id":' || to_json(m.call_id) || CASE WHEN text IS NULL THEN '' ELSE ',"content":' || to_json(text) END || ',"name":"reply","role":"user"}'
+         WHEN 'assistant' THEN '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text) || ',' END || '"result_of":' || to_json(m.call_id) || ',"role":"assistant"}'
          ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
-FROM m LEFT JOIN link ON m.conv_id = link.conv_id AND m.call_id = link.call_id
+FROM m LEFT JOIN link ON m.conv_id = link.conv_id AND m.call_id = link.call_id LEFT JOIN lev ON m.conv_id = lev.conv_id AND m.call_id = lev.call_id
 """
 
 

@@ -93,6 +93,49 @@ def test_calls_are_linked_ordered_and_checked(spark):
         assert list(parsed) == sorted(parsed)
 
 
+def test_references_are_whole_strings(spark):
+    cases = {
+        '{"a":"$ref:x"}': ["x"],
+        '{"a":"he wrote \\"$ref:zz\\" there"}': [],
+        '{"$ref:k":1, "b":{"$ref:k2" : "$ref:v"}}': ["v"],
+        '[["$ref:a", {"q":["$ref:b\\"c", "$ref:d\\\\", "$ref:e"]}]]': ["a", 'b"c', "d\\", "e"],
+        '{"a":"$ref:", "b":"x$ref:y", "c":"$ref:\\u00fc\\n"}': ["", "ü\n"],
+        '{"a":"$ref:x"': None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").union(spark.createDataFrame([(None,)], "t string"))
+    got = [r.r for r in df.select(chat_format.references(F.col("t")).alias("r")).collect()]
+    assert [sorted(g) if g else g for g in got] == [sorted(v) if v else v for v in cases.values()] + [None]
+
+
+def plain_levels(calls, answered):
+    """Level of each call by walking its references; -1 where that never ends."""
+    needs = {}
+    for c, refs in calls:
+        needs.setdefault(c, set()).update(refs)
+    level = {c: 0 for c, refs in needs.items() if not refs}
+    while True:
+        more = {c: 1 + max(level[r] for r in refs) for c, refs in needs.items() if c not in level and all(r in answered and r in level for r in refs)}
+        if not more:
+            return {c: level.get(c, -1) for c in needs}
+        level |= more
+
+
+def test_levels_equal_plain_python(spark):
+    import random
+
+    r = random.Random(8)
+    calls = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(40)]
+    calls += [(f"d{i}", r.sample([f"d{j}" for j in range(max(0, i - 6), i)], min(i, r.choice([0, 1, 1, 2, 3])))) for i in range(60)]
+    calls += [("x", ["y"]), ("y", ["z"]), ("z", ["x"]), ("w", ["x", "c0"]), ("self", ["self"]), ("gone", ["nothing"]), ("after", ["gone"]), ("silent", []), ("s2", ["silent"])]
+    calls += [("p", ["x"]), ("m", ["d59", "c39"]), ("n", ["m"]), ("o", ["n", "c5", "d3"]), ("c7", ["c3"])]
+    answered = {c for c, _ in calls} - {"silent"}
+    df = spark.createDataFrame([(1, c, '{"q":[%s]}' % ",".join(f'"$ref:{x}"' for x in refs)) for c, refs in calls], "conv_id long, call_id string, arguments string")
+    results = spark.createDataFrame([(1, c) for c in sorted(answered | {"nothing"})], "conv_id long, call_id string")
+    got = {x.call_id: x.level for x in chat_format.call_levels(df, results).collect()}
+    assert got == plain_levels(calls, answered)
+
+
 def test_chats_of_nothing_and_repeats(spark):
     assert chat(spark, []) == {}
     m = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (None, None, None, None), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
