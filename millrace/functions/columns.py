@@ -7,19 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dates
+
 # Texts that mean a missing value, compared after trimming and lower-casing.
 NULL_TOKENS = ["", "na", "n/a", "n.a.", "nan", "null", "none", "nil", "-", "--", "?", "unknown", "undefined", "missing", "not available", "#n/a", "#null!", "\\n"]
 TRUE_TOKENS = ["true", "yes", "y", "t", "1"]
 FALSE_TOKENS = ["false", "no", "n", "f", "0"]
-#: What may stand around a number.
+# What may stand around a number.
 NUMBER_NOISE = r"[,\s$€£¥₹%]"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 NUMERIC_TEXT = r"^\(?[+-]?[$€£¥₹]?\s*(?:\d[\d,]*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*%?\)?$"
-#: Date formats, tried in order.
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "M/d/yyyy",
-    "dd-MM-yyyy", "dd.MM.yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "dd-MMM-yyyy", "yyyyMMdd",
-]
 
 
 def stripped(c: Column) -> Column:
@@ -62,9 +59,8 @@ def to_boolean(c: Column) -> Column:
 
 
 def to_timestamp(c: Column) -> Column:
-    """A time from text in any of ``DATE_FORMATS``, else null."""
-    text = strip_whitespace(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    """A time from text in any of the shapes of ``dates``, else null."""
+    return dates.to_timestamp(c)
 
 
 def gender(c: Column) -> Column:

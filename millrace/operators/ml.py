@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import names as N
 from .analysis import numeric_columns
+from .neighbours import CLASSES, neighbour_information
 from .profile import TableProfile, logical_type
 
 MAX_CATEGORIES, REGRESSION_DISTINCT, MIN_ROWS = 50, 15, 10
@@ -170,7 +171,11 @@ def assess_feature_relevance(df: DataFrame, p: TableProfile, goal: str | None =
     if target:
         wide = [c for c in names if p.columns[c].logical_type == "text" and p.columns[c].distinct > MAX_CATEGORIES]
         used = [c for c in names if c not in wide]
-        mi = {r["column"]: r["mi"] for r in mutual_information(binned(df.filter(F.col(target).isNotNull()), [*used, target]), used, target).collect()} if used else {}
+        known = df.filter(F.col(target).isNotNull())
+        continuous = [c for c in used if c in numeric_columns(df)] if target not in numeric_columns(df) or p.columns[target].distinct <= CLASSES else used
+        counted = [c for c in used if c not in continuous]
+        mi = {r["column"]: r["mi"] for r in neighbour_information(known, continuous, target).collect()} if continuous else {}
+        mi |= {r["column"]: r["mi"] for r in mutual_information(binned(known, [*counted, target]), counted, target).collect()} if counted else {}
         most = max(mi.values(), default=0.0) or 1.0
         scores = {c: mi.get(c, 0.0) / most for c in names}
     else:

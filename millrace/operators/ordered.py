@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .quantiles import staged
+from ..shared import staged
 
 #: Points that make up a block, as a power of two, and places that a partition may number.
 BLOCK_BITS, PLACE_BITS = 12, 33
@@ -22,6 +23,13 @@ def _placed(rows: DataFrame, *order: str) -> DataFrame:
     return staged(ranged).withColumns({"_part": F.shiftright("_id", PLACE_BITS), "_at": F.col("_id").bitwiseAND((1 << PLACE_BITS) - 1)}).drop("_id")
 
 
+def _common(*kinds):
+    """A type that keeps the order of values of all of them."""
+    if len(set(kinds)) == 1:
+        return kinds[0]
+    return T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.TimestampType()
+
+
 # -- as-of join ------------------------------------------------------------------------
 
 
@@ -53,7 +61,7 @@ def asof_join(
     clash = set(columns.values()) & set(left.columns)
     if clash:
         raise ValueError(f"columns of the result would repeat: {sorted(clash)}")
-    kind = left.schema[left_time].dataType
+    kind = _common(left.schema[left_time].dataType, right.schema[right_time].dataType)
     mine = F.struct(*[F.col(f"`{a}`").alias(f"k{i}") for i, (a, _) in enumerate(by)]) if by else F.struct(F.lit(0).alias("k0"))
     theirs = F.struct(*[F.col(f"`{b}`").cast(left.schema[a].dataType).alias(f"k{i}") for i, (a, b) in enumerate(by)]) if by else F.struct(F.lit(0).alias("k0"))
     whole = lambda names: " and ".join(f"`{n}` is not null" for n in names)
@@ -62,13 +70,13 @@ def asof_join(
     chosen = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(ties or [f.name for f in right.schema if "map" not in f.dataType.simpleString()])])
     known = right.filter(whole([right_time, *[b for _, b in by]])).select(theirs.alias("_k"), F.col(f"`{right_time}`").cast(kind).alias("_r"), carried.alias("_v"), chosen.alias("_o"))
     known = known.groupBy("_k", "_r").agg(F.max_by("_v", "_o").alias("_v"))
-    asking = left.filter(whole([left_time, *[a for a, _ in by]])).select(mine.alias("_k"), F.col(f"`{left_time}`").alias("_t"))
+    asking = left.filter(whole([left_time, *[a for a, _ in by]])).select(mine.alias("_k"), F.col(f"`{left_time}`").cast(kind).alias("_t"))
     marks = asking.withColumn("_given", F.lit(False)).unionByName(known.select("_k", F.col("_r").alias("_t"), F.lit(True).alias("_given")))
     times = marks.groupBy("_k", "_t").agg(F.bool_or(~F.col("_given")).alias("_asked"), F.bool_or("_given").alias("_given"))
     found = _nearest(_placed(times, "_k", "_t"), operator).filter("_asked and _r is not null").select("_k", "_t", "_r")
     answers = found.join(known, ["_k", "_r"]).select("_k", F.col("_t").alias("_time"), "_v")
-    rows = left.withColumn("_key", mine)
-    same = (rows["_key"] == answers["_k"]) & (rows[f"`{left_time}`"] == answers["_time"])
+    rows = left.withColumn("_key", mine).withColumn("_at", F.col(f"`{left_time}`").cast(kind))
+    same = (rows["_key"] == answers["_k"]) & (rows["_at"] == answers["_time"])
     joined = rows.join(answers, same, how)
     return joined.select(*[rows[f"`{c}`"] for c in left.columns], *[F.col(f"_v.v{i}").alias(name) for i, name in enumerate(columns.values())])
 
@@ -111,9 +119,9 @@ def range_join(
     clash = set(points.columns) & set(intervals.columns)
     if clash:
         raise ValueError(f"columns of the result would repeat: {sorted(clash)}")
-    kind = points.schema[point].dataType
+    kind = _common(points.schema[point].dataType, intervals.schema[low].dataType, intervals.schema[high].dataType)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns if "map" not in points.schema[c].dataType.simpleString()])
-    rows = points.filter(F.col(f"`{point}`").isNotNull()).withColumn("_x", F.col(f"`{point}`")).withColumn("_s", spread)
+    rows = points.filter(F.col(f"`{point}`").isNotNull()).withColumn("_x", F.col(f"`{point}`").cast(kind)).withColumn("_s", spread)
     placed = _placed(rows, "_x", "_s").withColumn("_b", F.shiftright("_at", BLOCK_BITS))
     blocks = placed.groupBy("_part", "_b").agg(F.min("_x").alias("_least"), F.max("_x").alias("_most"))
     # a row per range, so the number of partitions bounds both the window and the broadcast

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..functions import dates
 from ..functions import names as N
 from .analysis import NUMERIC
 from .profile import ColumnProfile, TableProfile, plain, profile
@@ -63,8 +64,11 @@ def normalize_categories(df: DataFrame, column: str) -> DataFrame:
 
 
 def standardize_dates(df: DataFrame, column: str, log: Log | None = None) -> DataFrame:
-    """Dates in mixed formats as dates, or times if any has one; refused below half parsed."""
-    t = C.to_timestamp(F.col(column))
+    """Dates in mixed formats as dates, or times if any has one; refused below half parsed.
+
+    Whether days or months come first in numbers is settled by the whole column.
+    """
+    t = dates.to_timestamp(F.col(column), dates.day_first(df, F.col(column)))
     s = df.agg(F.count(column).alias("n"), F.count(t).alias("ok"), F.count_if(t != F.date_trunc("day", t)).alias("timed")).first()
     if not s["ok"] or s["ok"] < DATE_SHARE * s["n"]:
         if log:

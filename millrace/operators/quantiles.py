@@ -12,12 +12,13 @@ on the input.  Interpolation is that of ``percentile``: linear between neighbour
 
 from __future__ import annotations
 
-import uuid
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import staged
+
 #: Parts of a range, and values that are looked at one by one.
 BINS, FEW = 4096, 4096
 #: Ranges that may be sent to all executors; beyond it they are joined by key.
@@ -116,15 +117,6 @@ def _by_range(rows) -> dict[int, list[tuple]]:
 # -- by group --------------------------------------------------------------------------
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again; beside the warehouse where that is unset."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace_shared"
-    path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def grouped_quantiles(df: DataFrame, by: list[str], column: str | Column, probs: list[float]) -> DataFrame:
     """(by..., n, q) for every group with a value: the number of values and the array of quantiles.
 

@@ -1,12 +1,15 @@
-"""Exact vector search, and search in texts through hashed term vectors."""
+"""Exact vector search, and search in texts through an index of terms."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import place_of, shared_folder
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,23 +26,92 @@ def nearest(df: DataFrame, key: str, vector: str, query: list[float], top_k: int
     return scored.orderBy(F.desc("similarity"), F.asc(key)).limit(top_k)
 
 
-def text_search(df: DataFrame, key: str, text: str, query: str, top_k: int = 5, features: int = 1 << 18) -> DataFrame:
-    """(key, text, similarity) by the cosine of TF-IDF vectors; terms are hashed, weights are learnt from all rows."""
+# -- texts -----------------------------------------------------------------------------
+
+
+def terms_of(text: Column) -> Column:
+    """The runs of letters and digits of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+class TextIndex:
+    """Weights of terms in documents as Parquet tables, sorted by term, so that a query reads its terms' rows only.
+
+    ``postings`` holds (term, key, weight): TF-IDF by weights from all documents, of unit length in each
+    document.  ``terms`` holds (term, documents).  Nothing is as wide as the vocabulary.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, text: str, path: str) -> "TextIndex":
+        """Writes the index of ``df``; rows with the same key are one document, rows without key none."""
+        spark = df.sparkSession
+        index = cls(spark, path)
+        rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+        n = rows.select("key").distinct().count()
+        counts = rows.select("key", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.parquet(f"{index.path}/counts")
+        counts = spark.read.parquet(f"{index.path}/counts")
+        documents = counts.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+        documents.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{index.path}/terms")
+        documents = spark.read.parquet(f"{index.path}/terms")
+        weighed = counts.join(documents, "term").select("term", "key", (F.col("n") * _rarity(n)).alias("w"))
+        length = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        postings = weighed.join(length, "key").select("term", "key", F.try_divide("w", "length").alias("weight"))
+        postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{index.path}/postings")
+        # the size is written last: an index without it was not finished
+        spark.createDataFrame([(n,)], "documents long").coalesce(1).write.parquet(f"{index.path}/size")
+        return index
+
+    @property
+    def documents(self) -> int | None:
+        """The number of documents, or None where there is no finished index."""
+        system, place = place_of(self.spark, f"{self.path}/size/_SUCCESS")
+        if not system.exists(place):
+            return None
+        return self.spark.read.parquet(f"{self.path}/size").first()[0]
+
+    def search(self, query: str, top_k: int | None = 5, digits: int = 4) -> DataFrame:
+        """(key, similarity) of the documents most like the query, by the cosine of both; ties by key."""
+        n = self.documents
+        asked = self.spark.range(1).select(F.explode(terms_of(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+        known = {r.term: r.documents for r in self.spark.read.parquet(f"{self.path}/terms").filter(F.col("term").isin([r.term for r in asked])).collect()}
+        weights = {r.term: r.n * math.log((n + 1) / (known[r.term] + 1)) for r in asked if r.term in known}
+        length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("term").isin(list(weights)))
+        share = F.coalesce(*[F.when(F.col("term") == t, w / length) for t, w in weights.items()], F.lit(0.0))
+        scored = rows.groupBy("key").agg(F.round(F.sum(share * F.col("weight")), digits).alias("similarity"))
+        return scored.orderBy(F.desc("similarity"), F.asc("key")).limit(top_k) if top_k else scored
+
+
+def _rarity(n: int) -> Column:
+    return F.log((F.lit(n) + 1) / (F.col("documents") + 1))
+
+
+def text_index(df: DataFrame, key: str, text: str, folder: str | None = None) -> TextIndex:
+    """The index of a table's texts, built once for its content: found again by the digest of all keys and texts.
+
+    It lies in ``folder``, or in that of ``spark.checkpoint.dir``, beside the warehouse where it is unset.
+    """
     spark = df.sparkSession
-    words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[^\p{L}\p{N}]+")
-    tf = HashingTF(inputCol="_w", outputCol="_f", numFeatures=features)
-    rows = df.select(F.col(key), F.col(text), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    counted = tf.transform(words.transform(rows))
-    idf = IDF(inputCol="_f", outputCol="_i").fit(counted)
-    unit = Normalizer(inputCol="_i", outputCol="_n")
-    wanted = tf.transform(words.transform(spark.range(1).select(F.lit(query).alias("_t"))))
-    q = unit.transform(idf.transform(wanted)).first()["_n"]
-    # The query has few terms: only their weights are read.
-    at = [int(i) for i in q.indices]
-    array = vector_to_array("_n")
-    score = sum((F.element_at(array, i + 1) * float(v) for i, v in zip(at, q.values)), F.lit(0.0))
-    scored = unit.transform(idf.transform(counted)).select(key, text, F.round(score, 4).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), F.asc(key)).limit(top_k)
+    row = F.xxhash64(F.col(key), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
+    n, a, b = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/text-index-{hashlib.sha256(repr((key, text, n, a, b)).encode()).hexdigest()[:32]}"
+    index = TextIndex(spark, path)
+    if index.documents is None:
+        system, place = place_of(spark, path)
+        system.delete(place, True)  # what an interrupted build left
+        TextIndex.build(df, key, text, path)
+    return index
+
+
+def text_search(df: DataFrame, key: str, text: str, query: str, top_k: int = 5, folder: str | None = None) -> DataFrame:
+    """(key, text, similarity) of the ``top_k`` documents most like a query; the index is kept and used again."""
+    best = text_index(df, key, text, folder).search(query, top_k).withColumnRenamed("key", key)
+    rows = df.select(F.col(key), F.col(text)).join(F.broadcast(best), key)  # top_k rows
+    return rows.orderBy(F.desc("similarity"), F.asc(key))
 
 
 def keyword_counts(df: DataFrame, text: str, words: list[str]) -> DataFrame:

@@ -365,8 +365,8 @@ register("impute", _impute, "customer",
     """WITH d AS (SELECT c_custkey AS "row", CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey % 3 END AS few, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS sparse FROM customer)
 SELECT "row", coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM d)) AS balance,
 coalesce(few, (SELECT few FROM d WHERE few IS NOT NULL GROUP BY few ORDER BY count(*) DESC, few LIMIT 1)) AS few, sparse FROM d""")
-register("convert_types", lambda c: prepare.convert_types(_money(c).filter("t <> 'x'"), {"t": "numeric"}), "customer",
-    "SELECT c_custkey, CASE WHEN c_custkey % 5 = 1 THEN -c_custkey * 1234 ELSE c_custkey * 1234 END AS t FROM customer WHERE c_custkey % 5 <> 4")
+register("convert_types", lambda c: prepare.convert_types(_money(c).withColumn("t", F.expr("CASE WHEN t = 'x' AND c_custkey % 100 <> 4 THEN concat(c_custkey, '.50%') ELSE t END")), {"t": "numeric"}), "customer",
+    "SELECT c_custkey, CASE WHEN c_custkey % 100 = 4 THEN NULL WHEN c_custkey % 5 = 4 THEN c_custkey + 0.5 WHEN c_custkey % 5 = 1 THEN -c_custkey * 1234 ELSE c_custkey * 1234 END AS t FROM customer")
 register("invalid_values", lambda c: prepare.invalid_values(c.select(F.col("c_acctbal").alias("total_amount"), F.expr(_AGE).alias("age"))), "customer",
     f"""SELECT * FROM (SELECT 'total_amount' AS "column", 'negative' AS rule, count(*) FILTER (c_acctbal < 0) AS n FROM customer UNION ALL
 SELECT 'age', 'age_range', count(*) FILTER ({_AGE} NOT BETWEEN 0 AND 120) FROM customer UNION ALL SELECT 'age', 'negative', count(*) FILTER ({_AGE} < 0) FROM customer) WHERE n > 0""")
@@ -380,11 +380,11 @@ s AS (SELECT t, c, count(*) AS n FROM k GROUP BY ALL),
 j AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS shared FROM k a JOIN k b ON a.k = b.k AND a.t < b.t GROUP BY ALL)
 SELECT ta AS table_a, ca AS column_a, tb AS table_b, cb AS column_b, shared, x.n AS size_a, y.n AS size_b,
 CASE WHEN least(x.n, y.n) >= 2 THEN round(shared / least(x.n, y.n), 4) ELSE 0.0 END AS overlap FROM j JOIN s x ON x.t = ta AND x.c = ca JOIN s y ON y.t = tb AND y.c = cb""")
-register("key_resolution", lambda o, c: integrate.key_resolution(o, c.filter("c_custkey % 12 <> 0"), "o_custkey", "c_custkey"), "orders customer",
-    """WITH s AS (SELECT count(*) AS rows, count(c_custkey) AS resolved FROM orders LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 12 <> 0) ON o_custkey = c_custkey)
+register("key_resolution", lambda s, c: integrate.key_resolution(s, c, "client_id", "client_id"), "sales clients",
+    """WITH s AS (SELECT count(*) AS rows, count(c) AS resolved FROM sales LEFT JOIN (SELECT DISTINCT client_id AS c FROM clients) ON client_id = c)
 SELECT rows, resolved, rows - resolved AS unmatched, round(resolved / rows, 4) AS resolved_share, CASE WHEN rows = resolved THEN 'passed' WHEN rows - resolved >= 0.1 * rows THEN 'failed' ELSE 'warning' END AS status FROM s""")
-register("lookup_left_join", lambda o, c: integrate.lookup_join(o.select("o_orderkey", "o_custkey", "o_totalprice"), c.filter("c_custkey % 12 <> 0").select("c_custkey", "c_name", "c_mktsegment"), "o_custkey", "c_custkey", "customer"), "orders customer",
-    "SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 12 <> 0) ON o_custkey = c_custkey")
+register("lookup_left_join", lambda o, c: integrate.lookup_join(o.select("o_orderkey", "o_custkey", "o_totalprice"), c.select("c_custkey", "c_name", "c_mktsegment"), "o_custkey", "c_custkey", "customer"), "orders customer",
+    "SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 register("lookup_join_deduplicated", lambda c, e: integrate.lookup_join(c.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type")), e.select("user_id", "event_type"), "user_id", "user_id", "events"), "customer events",
     "SELECT c_custkey AS user_id, c_mktsegment AS event_type, m AS events_event_type FROM customer LEFT JOIN (SELECT user_id, min(event_type) AS m FROM events GROUP BY 1) ON c_custkey = user_id")
 
@@ -400,7 +400,7 @@ def _sql(name: str, tables: str, text: str, oracle: str | None = None) -> None:
 _sql("sql_group_by", "lineitem", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 _sql("sql_semi_join", "customer orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 _sql("sql_anti_join", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_sql("sql_full_join", "supplier nation", "SELECT n_name, s_suppkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM nation WHERE n_name > 'C') n ON s_nationkey = n_nationkey")
+_sql("sql_full_join", "vendors supplier", "SELECT vendor_id, s_suppkey, s_name FROM vendors FULL JOIN supplier ON vendor_id = s_suppkey")
 _sql("sql_cross_join", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _sql("sql_rollup", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_cube", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -420,7 +420,7 @@ _sql("sql_range_join", "orders lineitem", "SELECT o_orderkey, count(*) AS n FROM
 _sql("sql_filter_agg", "events", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, bool_or(value > 99) AS any_top FROM events GROUP BY event_type")
 _sql("sql_string_agg", "nation", "SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
      "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
-_sql("sql_quoted_names", "region", 'SELECT "r_name" AS "name" FROM region WHERE "r_regionkey" > 1')
+_sql("sql_quoted_names", "region", 'SELECT "r_name" AS "the name", "r_regionkey" AS "select" FROM region')
 _sql("sql_json", "events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 _sql("sql_q1", "lineitem", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",
      "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
@@ -436,7 +436,12 @@ def _nearest(e: DataFrame) -> DataFrame:
 register("vector_topk", _nearest, "embeddings",
     """WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 3) AS similarity FROM embeddings, q)
 SELECT * FROM s ORDER BY similarity DESC, vec_id LIMIT 10""")
-register("text_search", lambda d: search.text_search(d, "doc_id", "text", "license apache version").select("doc_id", "similarity"), "documents", None)
+register("text_search", lambda d: search.text_search(d, "doc_id", "text", "license apache version").select("doc_id", "similarity"), "documents",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL), df AS (SELECT term, ln((SELECT count(DISTINCT doc_id) + 1 FROM documents) / (count(*) + 1)) AS idf FROM tf GROUP BY term),
+x AS (SELECT doc_id, term, n * idf AS w FROM tf JOIN df USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM x GROUP BY doc_id),
+q AS (SELECT term, idf / sqrt(sum(idf * idf) OVER ()) AS w FROM df WHERE term IN ('license', 'apache', 'version'))
+SELECT x.doc_id, round(sum(x.w / len * q.w), 4) AS similarity FROM x JOIN q USING (term) JOIN l ON l.doc_id = x.doc_id GROUP BY x.doc_id ORDER BY similarity DESC, doc_id LIMIT 5""")
 _KEYWORDS = ["license", "password", "idiot", "the"]
 register("keyword_counts", lambda d: search.keyword_counts(d, "text", _KEYWORDS), "documents",
     " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER (regexp_matches(lower(text), '(^|[^a-z]){w}([^a-z]|$)')) AS rows FROM documents" for w in _KEYWORDS))
