@@ -10,6 +10,11 @@ Merging all occurrences at once equals merging one at a time unless the merged
 piece is part of another piece of the same or a better rank, which could then take
 a symbol away from the next occurrence.  Those pieces are found when the model is
 read, and for them a round merges the leftmost occurrence alone.
+
+In long words the minimum is taken over a window instead of the word.  A merge of better
+rank can take a pair's symbol only as part of a piece that holds both, and no piece is longer
+than ``reach`` letters; so a pair may merge as soon as no pair within that distance has a
+better rank, and all such pairs do in one round.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from ._tables import bounded_batches
 
 SPACE = "▁"
-#: Words that a worker keeps encoded; the store is emptied when it is full.
-MAX_WORDS = 200_000
+#: Words that a worker keeps encoded, and their letters; the store is emptied when it is full.
+MAX_WORDS, MAX_LETTERS = 200_000, 4_000_000
+#: Letters from which a word is long.
+LONG = 300
 NONE = np.int64(1) << 60
 
 
@@ -136,6 +143,8 @@ class PieceCodec:
         self.before = {m: {p[i - 1] + m for p in usual for i in range(1, len(p)) if p[i] == m} for m in ",."}
         self.newline_cuts = not any("\n" in p for p in usual if len(p) > 1)
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.letters = 0
+        self.reach = max(map(len, usual))
 
     # -- cutting ---------------------------------------------------------------
 
@@ -225,15 +234,48 @@ class PieceCodec:
             sym, of = flat, np.repeat(of, times)
         return sym, np.searchsorted(of, np.arange(len(words) + 1))
 
+    def encode_long(self, word: str) -> list[int]:
+        """The ids of one long word: rounds that merge every pair that is the best within reach."""
+        flat = self.symbol_of[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")]
+        slot = self.slots(flat, np.zeros(len(flat), np.int8), np.arange(len(flat)))
+        while True:
+            rank, number = self.ranks[slot], np.arange(len(flat))
+            right = np.append(_window_min(rank, self.reach + 1)[1:], NONE)
+            left = np.append(NONE, _window_min(rank[::-1], self.reach + 1)[:0:-1])
+            best = (rank < NONE) & (rank <= left) & (rank <= right)
+            if not best.any():
+                break
+            # Of a run of touching equals every other one, up to the first that has to wait.
+            head = np.maximum.accumulate(np.where(np.r_[False, rank[1:] == rank[:-1]], 0, number))
+            waits = np.maximum.accumulate(np.where(best, -1, number))
+            new = self.merged[slot]
+            alone = np.zeros(len(flat), bool)
+            alone[best] = self.single[new[best]]
+            at = np.flatnonzero(best & ((number - head) % 2 == 0) & (waits < head) & (~alone | (left > rank)))
+            flat[at] = new[at]
+            stay = np.ones(len(flat), bool)
+            stay[at + 1] = False
+            now = at - np.arange(len(at))
+            flat, slot = flat[stay], slot[stay]
+            changed = np.concatenate([now, now[now > 0] - 1])
+            slot[changed] = self.slots(flat, np.zeros(len(flat), np.int8), changed)
+        return [i for c in flat.tolist() for i in ((c,) if c < self.n else [self.byte_ids[x] for x in chr(c - self.n).encode("utf-8", "surrogatepass")])]
+
     def learn(self, keys: Iterable[str]) -> None:
         """Encodes the words that are not known yet."""
+        keys = list(keys)
         new = [k for k in keys if k not in self.words]
-        if len(self.words) + len(new) > MAX_WORDS:
+        if len(self.words) + len(new) > MAX_WORDS or self.letters > MAX_LETTERS:
             self.words.clear()
-            new = list(keys)
+            self.letters, new = 0, keys
+        self.letters += sum(map(len, new))
+        digits, text = self.digits_of_id, self.bytes_of_id
+        for key in [k for k in new if len(k) > LONG]:
+            ids = self.encode_long(self.symbols(key))
+            self.words[key] = (len(ids), b" ".join([digits[i] for i in ids]), self.bytes_of(ids))
+        new = [k for k in new if len(k) <= LONG]
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            digits, text = self.digits_of_id, self.bytes_of_id
             ids, cuts = self.encode_words([self.symbols(k) for k in part])
             ids, cuts = ids.tolist(), cuts.tolist()
             written, spelt = [digits[i] for i in ids], [text[i] for i in ids]
@@ -262,6 +304,16 @@ class PieceCodec:
         return joined[1:].decode("utf-8", "replace") if joined[:1] == b" " else joined.decode("utf-8", "replace")
 
 
+def _window_min(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each value and the ``size`` - 1 after it."""
+    out, length = values.copy(), 1
+    while length < size and length < len(out):
+        step = min(length, size - length)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        length += step
+    return out
+
+
 def encode_documents(
     docs: DataFrame, model: bytes, text_col: str = "text", id_col: str = "doc_id", *, with_ids: bool = False, with_text: bool = False
 ) -> DataFrame:

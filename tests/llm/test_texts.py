@@ -387,3 +387,34 @@ def test_learning_scores_and_quotation(spark):
     kept = toxicity.drop_toxic(docs(spark, [(1, "you idiot moron scum"), (2, "fine"), (3, None)]), model)
     assert sorted(x.doc_id for x in kept.collect()) == [2, 3]
     assert toxicity.score_documents(docs(spark, []), toxicity.learn([], [])).count() == 0
+
+
+def test_long_words_equal_the_library():
+    import random
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=PIECES)
+    codec = sentence_pieces.PieceCodec(PIECES)
+    r = random.Random(12)
+    letters = ["ab", "abcdefghijklmnopqrstuvwxyz", "aeiourstln", "ABCDEFabcdef0123456789", "0123456789", "=-_*#", "éèüñçß", "日本語中文字", "theingtionerre", "\x01😀a"]
+    for k in range(300):
+        own = letters[k % len(letters)]
+        word = "".join(r.choices(own, k=r.randrange(301, 900)))
+        if k % 5 == 0:
+            word = "".join(r.choices(own, k=r.randrange(1, 9))) * 100
+        assert codec.encode_long(sentence_pieces.SPACE + word) == sp.encode(word), word[:60]
+    blob = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    began = time.perf_counter()
+    ids = codec.encode(f"data {blob} end")
+    assert time.perf_counter() - began < 60
+    assert ids == sp.encode(f"data {blob} end")
+
+
+def test_the_store_of_words_is_bounded_by_letters(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "MAX_LETTERS", 1000)
+    codec = sentence_pieces.PieceCodec(PIECES)
+    for i in range(20):
+        codec.learn([f"{i}word{j}" * 5 for j in range(20)])
+        assert len(codec.words) <= 60
