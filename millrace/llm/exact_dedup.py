@@ -2,7 +2,9 @@
 
 Partitions hold sorted runs of digests and exchange them in binomial rounds (see
 ``_tree``).  At every level entries merge only if SHA-256, a second hash of 64 bits and
-the byte length all agree, and one identifier is retained.
+the byte length all agree, and one identifier is retained.  What is retained is a pair of
+whether there is an identifier and that identifier; Spark aggregates such pairs over sorted input only,
+so each level sorts its runs by digest and merges them in one pass, without a table of digests.
 
 Only digests move; texts never leave the scan, which reads them once: the digests are
 written to the shared folder (some 3 % of the input) and all rounds read them there.
@@ -38,10 +40,13 @@ def exact_groups(
     Other columns of the input are ignored; an empty table gives an empty one.
     """
     choose = {"max": F.max, "min": F.min}[keep]
+    has = F.col("_id").isNotNull() if keep == "max" else F.col("_id").isNull()
     text = F.coalesce(F.col(text_col), F.lit(""))
     digests = written(
         docs.select(
             F.col(id_col).alias("_id"),
+            # rows without identifier are spread over the runs by their number
+            F.coalesce(F.col(id_col).cast("string"), F.monotonically_increasing_id().cast("string")).alias("_spread"),
             F.unhex(F.sha2(text, 256)).alias("_sha"),
             F.xxhash64(text).alias("_h64"),
             F.octet_length(text).alias("_len"),
@@ -51,12 +56,12 @@ def exact_groups(
     tree = merge_runs(
         digests,
         KEY,
-        "_id",
-        {"_keep": (choose("_id"), choose), "_n": (F.count(F.lit(1)), F.sum)},
+        "_spread",
+        {"_kept": (choose(F.struct(has.alias("has"), "_id")), choose), "_n": (F.count(F.lit(1)), F.sum)},
         ways=ways,
         radix_bits=radix_bits,
     )
-    return tree.down(tree.root).select(
+    return tree.down(tree.root).withColumn("_keep", F.col("_kept._id")).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").cast("long").alias("group_size"),

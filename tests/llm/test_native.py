@@ -214,3 +214,20 @@ def test_errors_belong_to_each_message(spark):
     s = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
     out = chat_format.format_chats(m, s).collect()
     assert sorted((str(r.turn), r.errors) for r in out) == [("3", ""), ("3", "missing:city"), ("4", "tool"), ("None", "missing:city")]
+
+
+def test_levels_of_digests_are_sorted_and_merged(spark):
+    docs = spark.createDataFrame([(i if i % 4 else None, f"t{i % 9}") for i in range(300)], "doc_id long, text string")
+    plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    merges = [line for line in plan.splitlines() if "Aggregate(" in line and "functions=[]" not in line]
+    assert len(merges) >= 5 and all("SortAggregate" in line for line in merges)  # a leaf, and two rounds in two halves
+    for keep, choose in (("max", max), ("min", min)):
+        got = {(r.text_sha256, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, keep=keep).collect()}
+        ids = {t: [i for i in range(300) if i % 9 == t] for t in range(9)}
+        assert {(k, n) for _, k, n in got} == {(choose(i for i in own if i % 4), len(own)) for own in ids.values()}
+
+
+def test_rows_without_identifier_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = exact_dedup.exact_groups(docs)
+    assert out.count() == 4000 and out.filter("kept and keep_id is null and group_size = 4000").count() == 4000
