@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives (DataFrame functions only).
 
-Candidates are runs of key-like characters with a digit.  Each is described by its
+Candidates are long runs of key-like characters with a digit, and whatever is assigned to a
+password, secret, token or key, short and without digits too.  Each is described by its
 length, its mix and transitions of character classes, how much of it common words
 cover, paths around it and neighbouring words; a random forest learnt from labelled
 findings keeps the secrets.  Detection and scoring are expressions of one scan.
@@ -15,8 +16,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: a whole run of at least 12 key-like characters, a digit among them; padding of base 64 belongs to it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}"
+#: What secrets are assigned to, with the sign of assignment, right before a candidate.
+ASSIGNED = r"(?<=[:='\"\s])(?<=(?:[Pp]ass(?:word|wd|phrase|code)|PASS(?:WORD|WD)|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)['\"]?\s{0,2}[:=]{1,2}\s{0,2}['\"]?)"
+#: A candidate: a whole run of at least 12 key-like characters, a digit among them, with padding of base 64; or four characters or more that are assigned.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}|" + ASSIGNED + r"[^\s'\"`,;<>:=]{4,}+"
 #: Characters of context on either side.
 CONTEXT = 48
 
@@ -67,13 +70,14 @@ def described(rows: DataFrame, candidate: str = "candidate", before: str = "befo
     )
 
 
-def composed_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
+def composed_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     """Labelled findings (candidate, before, after, label), composed from the digits of a hash of their number."""
     rows = spark.range(n).select(
         "id",
         F.sha2(F.col("id").cast("string"), 256).alias("h"),
         F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 512))).alias("b"),
-        (F.col("id") % 16).alias("kind"),
+        (F.col("id") % 20).alias("kind"),
+        F.element_at(F.array(*[F.lit(w) for w in COMMON]), (F.col("id") * 7 % len(COMMON) + 1).cast("int")).alias("v"),
         F.element_at(F.array(*[F.lit(w) for w in COMMON]), (F.col("id") % len(COMMON) + 1).cast("int")).alias("w"),
     )
     forms = [  # kind, label, candidate, before, after
@@ -93,6 +97,10 @@ def composed_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (13, 0, "lpad(cast(id * 7919 as string), 14, '0')", "concat(w, ' phone ')", "concat(' ', w)"),
         (14, 0, "concat(w, initcap(w), 'number', cast(id as string), initcap(w))", "concat(w, ' ')", "concat(' ', w)"),
         (15, 0, "concat('version-', w, '-', cast(id % 9 as string), '-build-', cast(id as string))", "concat('https://', w, '.example.com/')", "concat('/', w)"),
+        (16, 1, "concat(w, substr(h, 1, 2), substr(b, 1, cast(id % 3 as int)))", "concat(v, ' password=')", "concat(' ', v)"),
+        (17, 1, "concat(initcap(w), initcap(v), initcap(substr(translate(b, '+/=0123456789', 'abc'), 1, 5)), initcap(w))", "concat(v, ' passphrase: ')", "concat(' ', v)"),
+        (18, 0, "v", "concat(w, ' password: ')", "concat(' ', w)"),
+        (19, 0, "concat(v, w)", "concat(w, ' key = ')", "concat(' ', v)"),
     ]
     pick = lambda k: F.expr("case kind " + " ".join(f"when {f[0]} then {f[k]}" for f in forms) + " end")
     return rows.select(pick(2).alias("candidate"), pick(3).alias("before"), pick(4).alias("after"), pick(1).cast("double").alias("label"))
@@ -110,8 +118,8 @@ def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """(id, start, candidate, before, after): each candidate of a text at each of its places.
 
     ``start`` counts characters from 0.  The text is cut at the candidates; the sums of the
-    lengths give the places, and as a candidate has 12 characters or more, the nine parts
-    on either side hold the context.
+    lengths give the places.  A candidate and what stands before it have 8 characters or more together,
+    so the thirteen parts on either side hold the context.
     """
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.regexp_like("t", F.lit(CANDIDATE)))
     cut = found.select(
@@ -135,8 +143,8 @@ def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         "id",
         F.expr("starts[k]").alias("start"),
         "candidate",
-        F.expr(f"right(array_join(slice(parts, greatest(2 * k - 7, 1), least(2 * k + 1, 9)), ''), {CONTEXT})").alias("before"),
-        F.expr(f"substr(array_join(slice(parts, 2 * k + 3, 9), ''), 1, {CONTEXT})").alias("after"),
+        F.expr(f"right(array_join(slice(parts, greatest(2 * k - 11, 1), least(2 * k + 1, 13)), ''), {CONTEXT})").alias("before"),
+        F.expr(f"substr(array_join(slice(parts, 2 * k + 3, 13), ''), 1, {CONTEXT})").alias("after"),
     )
 
 

@@ -231,3 +231,35 @@ def test_rows_without_identifier_are_spread(spark):
     docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     out = exact_dedup.exact_groups(docs)
     assert out.count() == 4000 and out.filter("kept and keep_id is null and group_size = 4000").count() == 4000
+
+
+def test_short_and_digit_free_secrets_that_are_assigned(spark):
+    cases = {1: "x password=hunter2x y", 2: "set PASSWORD = 'CorrectHorseBatteryStaple' now", 3: "pwd: Tr0ub4dor&3!", 4: "the password: image of it", 5: "a key = value", 6: "passwords are long", 7: "api_key:abc", 8: "token=\"9fK2\""}
+    got = {(r.doc_id, r.start): (r.length, r.secret) for r in secrets_scan.find_secrets(docs(spark, list(cases.items()))).collect()}
+    assert got.keys() == {(1, 11), (2, 16), (3, 5), (4, 14), (5, 8), (8, 7)}
+    assert got[1, 11] == (8, True) and got[2, 16] == (25, True) and got[3, 5] == (12, True) and not got[4, 14][1] and not got[5, 8][1]
+
+
+def test_candidates_of_all_documents_equal_a_plain_scan(spark):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    assigned = r"(?:[Pp]ass(?:word|wd|phrase|code)|PASS(?:WORD|WD)|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)['\"]?\s{0,2}[:=]{1,2}\s{0,2}['\"]?$"
+    want = set()
+    for r in rows:
+        text, at = r["text"] or "", 0
+        while at < len(text):
+            run = re.compile(r"[A-Za-z0-9+/_\-]+").match(text, at)
+            starts = at == 0 or not re.match(r"[A-Za-z0-9+/_\-]", text[at - 1])
+            if run and starts and len(run[0]) >= 12 and re.search("[0-9]", run[0]):
+                end = run.end() + len(re.compile("={0,2}").match(text, run.end())[0])
+            elif (value := re.compile(r"[^\s'\"`,;<>:=]{4,}").match(text, at)) and at and re.match(r"[:='\"\s]", text[at - 1]) and re.search(assigned, text[max(0, at - 30) : at]):
+                end = value.end()
+            else:
+                at += 1
+                continue
+            want.add((r["doc_id"], at, hashlib.sha256(text[at:end].encode()).hexdigest()))
+            at = end
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r.doc_id, r.start, r.candidate_sha256) for r in secrets_scan.find_secrets(d).select("doc_id", "start", "candidate_sha256").collect()}
+    assert got == want and len(want) > 20
