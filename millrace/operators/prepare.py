@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions import dates
 from ..functions import names as N
+from ..shared import staged
 from .analysis import NUMERIC
 from .profile import ColumnProfile, TableProfile, plain, profile
 from .quantiles import quantiles
@@ -18,6 +19,8 @@ from .quantiles import quantiles
 CONVERT_SHARE, DATE_SHARE = 0.95, 0.5
 MISSING_LIMIT, DISCRETE, MODE_SHARE = 0.40, 12, 0.5
 AGE_LOW, AGE_HIGH = 0, 120
+#: Spellings of a category that are sent to all executors.
+SPELLINGS = 10_000
 
 
 @dataclass
@@ -59,8 +62,18 @@ def spelling_map(df: DataFrame, column: str) -> DataFrame:
 
 
 def normalize_categories(df: DataFrame, column: str) -> DataFrame:
-    """Spellings of a category that differ in case or edges become the most frequent of them."""
-    return df.join(spelling_map(df, column).withColumnRenamed("value", column), column, "left").withColumn(column, F.col("standard")).select(*df.columns)
+    """Spellings of a category that differ in case or edges become the most frequent of them.
+
+    The map holds the spellings that change.  It is counted, and sent to the executors while it has at most
+    ``SPELLINGS`` rows, so the rows of a frequent category do not meet in one task; AQE splits the join of longer ones.
+    """
+    changed = staged(spelling_map(df, column).filter("value <> standard"))
+    n = changed.count()
+    if not n:
+        return df
+    found = changed.select(F.col("value").alias("_value"), F.col("standard").alias("_standard"))
+    joined = df.join(F.broadcast(found) if n <= SPELLINGS else found, F.col(column) == F.col("_value"), "left")
+    return joined.withColumn(column, F.coalesce("_standard", column)).select(*df.columns)
 
 
 def standardize_dates(df: DataFrame, column: str, log: Log | None = None) -> DataFrame:
@@ -239,13 +252,21 @@ def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.groupBy("column").agg(F.sum("extra").alias("duplicate_values")).filter("duplicate_values > 0")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written and read again; names that Parquet does not take are numbered meanwhile."""
+    return staged(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).toDF(*df.columns)
+
+
 def prepare(df: DataFrame) -> tuple[DataFrame, TableProfile, Log]:
-    """A table standardized, cleaned and without duplicates, with its profile after and the log."""
+    """A table standardized, cleaned and without duplicates, with its profile after and the log.
+
+    Each stage is written once to the shared folder, so that no later job computes it again from raw text.
+    """
     log = Log()
-    standard = standardize(df, profile(df), log)
+    standard = _kept(standardize(df, profile(df), log))
     before = profile(standard)
     cleaned = clean(standard, before, log)
-    out = drop_duplicate_rows(cleaned)
+    out = _kept(drop_duplicate_rows(cleaned))
     after = profile(out)
     if before.rows != after.rows:
         log.add("deduplicate", "removed_duplicate_rows", f"{before.rows - after.rows} row(s)", rows=before.rows - after.rows)

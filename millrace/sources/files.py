@@ -9,6 +9,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,14 +179,46 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+# Number formats of the workbook standard that show dates or times.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _dated_styles(book: zipfile.ZipFile, names: set[str]) -> list[bool]:
+    """For each style of cells: does it show its number as a date?"""
+    if "xl/styles.xml" not in names:
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_NS}numFmt")}
+    # in a format's code, letters of dates count outside of quotes, escapes, brackets and colours
+    bare = {k: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code).lower().replace("general", "") for k, code in own.items()}
+    dated = (_DATE_FORMATS - own.keys()) | {k for k, code in bare.items() if re.search("[dmyhs]", code.split(";")[0])}
+    styles = root.find(f"{_NS}cellXfs")
+    return [] if styles is None else [int(x.get("numFmtId") or 0) in dated for x in styles.iter(f"{_NS}xf")]
+
+
+def serial_date(number: float, from_1904: bool = False) -> str | None:
+    """The ISO text of a workbook's day number: a date, a date with time, or below 1 a time of day."""
+    if not 0 <= number < 2_958_466:
+        return None
+    # day 60 of the usual count is 29 February 1900, which never was
+    first = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 31) if number < 60 else datetime(1899, 12, 30)
+    at = first + timedelta(seconds=round(number * 86_400))
+    if number < 1 and not from_1904:
+        return at.strftime("%H:%M:%S")
+    return at.date().isoformat() if at.time() == time() else at.isoformat(" ")
+
+
 def sheets_of(data: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
-    """(name, rows of texts) of each sheet of a workbook."""
+    """(name, rows of texts) of each sheet of a workbook; numbers that are shown as dates become ISO dates."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si"):
                 shared.append("".join(t.text or "" for t in si.iter(f"{_NS}t")))
+        dated = _dated_styles(book, names)
+        settings = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}workbookPr")
+        from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
             target = targets[sheet.get(f"{_REL}id")].lstrip("/")
@@ -201,6 +234,8 @@ def sheets_of(data: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
                         text = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
                     elif c.get("t") == "b" and text is not None:
                         text = "TRUE" if text == "1" else "FALSE"
+                    elif c.get("t") in (None, "n") and text and int(c.get("s") or 0) < len(dated) and dated[int(c.get("s") or 0)]:
+                        text = serial_date(float(text), from_1904) or text
                     cells[_column(c.get("r")) if c.get("r") else k] = text
                 rows.append([cells.get(k) for k in range(max(cells) + 1)] if cells else [])
             yield sheet.get("name"), rows

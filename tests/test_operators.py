@@ -362,3 +362,35 @@ def test_nulls_do_not_count_in_anomaly_rates(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4, 5, 2, 3, 4, 3, 900]] + [(None,)] * 10, "x double")
     r = anomaly.summary(df, "x").first()
     assert (r.total_rows, r.anomaly_count, r.anomaly_rate_percent) == (10, 1, 10.0)
+
+
+def test_numbers_shown_as_dates_are_dates(tmp_path):
+    import zipfile
+
+    from millrace.sources.files import serial_date, sheets_of
+
+    assert [serial_date(x) for x in (1, 59, 61, 45292, 45292.5, 0.25, -1, 3e6)] == ["1900-01-01", "1900-02-28", "1900-03-01", "2024-01-01", "2024-01-01 12:00:00", "06:00:00", None, None]
+    assert serial_date(0, True) == "1904-01-01"
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    styles = f"""<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="0.00 &quot;days&quot;"/><numFmt numFmtId="166" formatCode="[Red]#,##0"/></numFmts>
+<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/><xf numFmtId="22"/></cellXfs></styleSheet>"""
+    cells = "".join(f'<c r="{chr(65 + k)}2" s="{k}"><v>45292.5</v></c>' for k in range(6))
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {main}><sheetData><row r="2">{cells}</row></sheetData></worksheet>')
+    ((name, rows),) = sheets_of((tmp_path / "b.xlsx").read_bytes())
+    date = "2024-01-01 12:00:00"
+    assert name == "S" and rows == [["45292.5", date, date, "45292.5", "45292.5", date]]
+
+
+def test_frequent_spellings_win_in_long_maps_too(spark, monkeypatch):
+    from millrace.operators import prepare
+
+    rows = [("Rome",)] * 5 + [("ROME",), (" rome ",), (None,), ("Paris",), ("paris",), ("paris",)]
+    df = spark.createDataFrame(rows, "city string")
+    for most in (10_000, 0):
+        monkeypatch.setattr(prepare, "SPELLINGS", most)
+        got = sorted((r.city or "") for r in prepare.normalize_categories(df, "city").collect())
+        assert got == sorted(["Rome"] * 7 + [""] + ["paris"] * 3)
