@@ -15,6 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import isolated
+from . import sql_functions
 
 MAX_ROWS = 200
 #: Functions that run arbitrary code or read files.
@@ -99,6 +100,7 @@ def query(tables: dict[str, DataFrame], sql: str) -> DataFrame:
     why = check(own, sql)
     if why:
         raise ValueError(why)
+    sql_functions.install(own)
     views = []  # that the query's own session can see, until the query is analysed
     try:
         for name, df in tables.items():

@@ -425,6 +425,14 @@ _sql("sql_json", "events", "SELECT event_id, CAST(get_json_object(props, '$.k')
 _sql("sql_q1", "lineitem", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus",
      "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 
+_sql("sql_strftime", "orders", "SELECT strftime(o_orderdate, '%Y-%m (%b), day''s %d') AS m, count(*) AS n, CAST(max(epoch(o_orderdate)) AS BIGINT) AS last, min(isodow(o_orderdate)) AS dow FROM orders GROUP BY 1")
+_sql("sql_strptime", "stamps", "SELECT stamp_id, try_strptime(trim(raw), '%d.%m.%Y %H:%M:%S') AS a, try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ') AS b FROM stamps",
+     "SELECT stamp_id, try_strptime(CASE WHEN regexp_full_match(trim(raw), '\\d\\d\\.\\d\\d\\.\\d{4} .*') THEN trim(raw) END, '%d.%m.%Y %H:%M:%S') AS a, try_strptime(CASE WHEN regexp_full_match(raw, '.*Z') THEN raw END, '%Y-%m-%dT%H:%M:%SZ') AS b FROM stamps")
+_sql("sql_regexp_matches", "clients", "SELECT client_id, regexp_matches(email, '@[a-m]') AS early, regexp_full_match(city, '[A-Z][a-z]+') AS one_word, strpos(email, '@') AS at, starts_with(name, 'A') AS a, ends_with(email, '.com') AS com FROM clients")
+_sql("sql_string_split", "items", "SELECT item_id, CAST(cardinality(string_split(name, ' ')) AS BIGINT) AS words FROM items", "SELECT item_id, len(string_split(name, ' ')) AS words FROM items")
+_sql("sql_series_join", "sales", "SELECT p.generate_series AS priority, count(sale_id) AS n FROM generate_series(0, 9) p LEFT JOIN sales ON sales.priority = p.generate_series GROUP BY 1")
+_sql("sql_json_text", "events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, 'k') = '3' AS three FROM events")
+
 # -- search, text, learning --------------------------------------------------------------------
 
 

@@ -394,3 +394,17 @@ def test_frequent_spellings_win_in_long_maps_too(spark, monkeypatch):
         monkeypatch.setattr(prepare, "SPELLINGS", most)
         got = sorted((r.city or "") for r in prepare.normalize_categories(df, "city").collect())
         assert got == sorted(["Rome"] * 7 + [""] + ["paris"] * 3)
+
+
+def test_functions_that_analysts_expect(spark):
+    from millrace.operators import sql as sqltool
+
+    t = spark.createDataFrame([("2024-03-05 07:08:09.5", "a.b.c", "x'y")], "at string, s string, q string").selectExpr("cast(at as timestamp_ntz) as at", "s", "q")
+    one = lambda text: tuple(sqltool.query({"t": t}, f"SELECT {text} FROM t").first())
+    assert one("strftime(at, '%d/%m/%y %I:%M %p''s 100%% T%H')") == ("05/03/24 07:08 AM's 100% T07",)
+    assert one("strftime(at, '%A %j'), strftime(at, ''), strftime(at, '%Y%m%d')") == ("Tuesday 065", "", "20240305")
+    assert one("strptime('05.03.2024', '%d.%m.%Y') = DATE '2024-03-05', try_strptime('x', '%Y') IS NULL, isodow(at), epoch(at) - floor(epoch(at))") == (True, True, 2, 0.5)
+    assert one("string_split(s, '.'), regexp_matches(s, 'b'), regexp_full_match(s, 'b'), regexp_full_match(s, 'a.+|z'), strpos(s, 'c'), prefix(s, 'a'), suffix(s, 'a')") == (["a", "b", "c"], True, False, True, 5, True, False)
+    assert [r[0] for r in sqltool.query({"t": t}, "SELECT * FROM generate_series(2, 4)").collect()] == [2, 3, 4]
+    assert sqltool.query({"t": t}, "SELECT * FROM generate_series(4, 2)").count() == 0
+    assert "error" in sqltool.run_sql_query({"t": t}, "SELECT reflect('java.lang.System', 'exit', 0) FROM t")
