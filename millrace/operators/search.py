@@ -73,15 +73,20 @@ class TextIndex:
             return None
         return self.spark.read.parquet(f"{self.path}/size").first()[0]
 
-    def search(self, query: str, top_k: int | None = 5, digits: int = 4) -> DataFrame:
-        """(key, similarity) of the documents most like the query, by the cosine of both; ties by key."""
+    def query_weights(self, query: str) -> dict[str, float]:
+        """The query's known terms with their weights, of unit length together."""
         n = self.documents
         asked = self.spark.range(1).select(F.explode(terms_of(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
         known = {r.term: r.documents for r in self.spark.read.parquet(f"{self.path}/terms").filter(F.col("term").isin([r.term for r in asked])).collect()}
         weights = {r.term: r.n * math.log((n + 1) / (known[r.term] + 1)) for r in asked if r.term in known}
         length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        return {t: w / length for t, w in weights.items()}
+
+    def search(self, query: str, top_k: int | None = 5, digits: int = 4) -> DataFrame:
+        """(key, similarity) of the documents most like the query, by the cosine of both; ties by key."""
+        weights = self.query_weights(query)
         rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("term").isin(list(weights)))
-        share = F.coalesce(*[F.when(F.col("term") == t, w / length) for t, w in weights.items()], F.lit(0.0))
+        share = F.coalesce(*[F.when(F.col("term") == t, w) for t, w in weights.items()], F.lit(0.0))
         scored = rows.groupBy("key").agg(F.round(F.sum(share * F.col("weight")), digits).alias("similarity"))
         return scored.orderBy(F.desc("similarity"), F.asc("key")).limit(top_k) if top_k else scored
 
