@@ -60,6 +60,45 @@ def key_overlaps(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     return both.select("table_a", "column_a", "table_b", "column_b", "shared", "size_a", "size_b", overlap.alias("overlap"))
 
 
+#: Entries of a sketch, as a power of two, and standard deviations that a bound leaves for chance.
+SKETCH_BITS, DEVIATIONS = 12, 4
+
+
+def possible_overlaps(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> dict[tuple[str, str, str, str], float]:
+    """The most that the keys of each pair of columns (table, column, table, column) can overlap, from a theta sketch per column.
+
+    One scan of each table; what moves is a sketch per column and task, of 32 KB at most.  Small columns are exact.
+    """
+    used: dict[str, set[str]] = {}
+    for a, x, b, y in pairs:
+        used.setdefault(a, set()).add(x)
+        used.setdefault(b, set()).add(y)
+    sketches = None
+    for name, columns in used.items():
+        rows = [F.struct(F.lit(c).alias("column"), C.join_key(F.col(f"`{c}`")).alias("key")) for c in sorted(columns)]
+        keys = tables[name].select(F.inline(F.array(*rows))).filter("key is not null")
+        part = keys.groupBy(F.lit(name).alias("table"), "column").agg(F.theta_sketch_agg("key", SKETCH_BITS).alias("sketch"))
+        sketches = part if sketches is None else sketches.unionByName(part)
+    if sketches is None:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    side = lambda n: sketches.select(F.col("table").alias(f"table_{n}"), F.col("column").alias(f"column_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    both = spark.createDataFrame(pairs, "table_a string, column_a string, table_b string, column_b string")
+    both = both.join(side("a"), ["table_a", "column_a"]).join(side("b"), ["table_b", "column_b"])
+    size = lambda c: F.theta_sketch_estimate(c).cast("double")
+    found = both.select(
+        "table_a", "column_a", "table_b", "column_b", size("sketch_a").alias("a"), size("sketch_b").alias("b"),
+        size(F.theta_intersection("sketch_a", "sketch_b")).alias("shared"), size(F.theta_union("sketch_a", "sketch_b", SKETCH_BITS)).alias("all"),
+    )
+    out = dict.fromkeys(pairs, 0.0)
+    for r in found.collect():  # a row per pair
+        share = min(1.0, 2**SKETCH_BITS / max(1.0, r["all"]))  # of all keys that the sketches hold
+        held = r["shared"] * share
+        chance = 0.0 if share == 1.0 else DEVIATIONS * ((held + 1) ** 0.5 + 1)
+        out[r["table_a"], r["column_a"], r["table_b"], r["column_b"]] = min(1.0, (held + chance) / share / max(1.0, min(r["a"], r["b"])))
+    return out
+
+
 def dense_ranges(df: DataFrame, columns: list[str]) -> dict[str, bool]:
     """Whether a column's keys fill a range of whole numbers, so that they meet others by chance."""
     aggs = []
@@ -94,6 +133,11 @@ def match_schemas(tables: dict[str, DataFrame], profiles: dict[str, TableProfile
                 name, kind = N.similarity(x, y), N.type_agreement(px.logical_type, py.logical_type)
                 if name >= 0.3 or kind >= 0.5:
                     pairs.append((a, x, b, y, name, kind))
+    # Keys move only for pairs that can be kept, by the most that they can overlap.
+    text = lambda t, c: profiles[t].columns[c].logical_type == "text"
+    most = possible_overlaps(tables, [p[:4] for p in pairs]) if pairs else {}
+    nudge = 0.15 if hook else 0.0
+    pairs = [p for p in pairs if score_match(p[4], p[5], most[p[:4]], False, text(p[0], p[1]) and text(p[2], p[3])) + nudge >= KEEP_SCORE]
     if not pairs:
         return []
     used = {t: sorted({p[1] for p in pairs if p[0] == t} | {p[3] for p in pairs if p[2] == t}) for t in tables}

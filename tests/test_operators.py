@@ -408,3 +408,27 @@ def test_functions_that_analysts_expect(spark):
     assert [r[0] for r in sqltool.query({"t": t}, "SELECT * FROM generate_series(2, 4)").collect()] == [2, 3, 4]
     assert sqltool.query({"t": t}, "SELECT * FROM generate_series(4, 2)").count() == 0
     assert "error" in sqltool.run_sql_query({"t": t}, "SELECT reflect('java.lang.System', 'exit', 0) FROM t")
+
+
+def test_sketches_bound_overlaps_and_keep_all_matches(spark, monkeypatch):
+    from millrace.operators import integrate
+    from millrace.operators.profile import profile
+
+    r = spark.range(20_000)
+    big = r.selectExpr("id * 7 AS customer_key", "id % 90 AS grade", "concat('n', id) AS label")
+    small = spark.range(3000).selectExpr("id * 14 AS cust_key", "id AS position", "concat('m', id) AS label", "id % 90 + 1000 AS other_grade")
+    tables = {"big": big, "small": small}
+    pairs = [("big", x, "small", y) for x in big.columns for y in small.columns]
+    bounds = integrate.possible_overlaps(tables, pairs)
+    exact = {(o.table_a, o.column_a, o.table_b, o.column_b): o.shared / min(o.size_a, o.size_b) for o in integrate.key_overlaps({"big": (big, big.columns), "small": (small, small.columns)}).collect()}
+    assert all(bounds[p] >= exact.get(p, 0.0) for p in pairs)
+    assert bounds["big", "customer_key", "small", "cust_key"] == 1.0 and bounds["big", "grade", "small", "other_grade"] == 0.0 and bounds["big", "label", "small", "label"] < 0.2
+
+    profiles = {t: profile(df) for t, df in tables.items()}
+    seen = []
+    real = integrate.key_overlaps
+    monkeypatch.setattr(integrate, "key_overlaps", lambda t: seen.append(sum(len(cs) for _, cs in t.values())) or real(t))
+    found = integrate.match_schemas(tables, profiles)
+    monkeypatch.setattr(integrate, "possible_overlaps", lambda t, p: dict.fromkeys(p, 1.0))
+    assert integrate.match_schemas(tables, profiles) == found and found[0].left_column == "customer_key"
+    assert seen[0] < seen[1]
