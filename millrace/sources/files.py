@@ -6,6 +6,7 @@ import csv
 import io
 import os
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import table_name
+from . import legacy
 
 EXTENSIONS = {
-    "delimited": (".csv", ".tsv", ".txt"), "excel": (".xlsx", ".xlsm"), "json": (".json", ".jsonl", ".ndjson"), "parquet": (".parquet",), "orc": (".orc",),
+    "delimited": (".csv", ".tsv", ".txt"), "excel": (".xlsx", ".xlsm", ".xls"), "json": (".json", ".jsonl", ".ndjson"), "parquet": (".parquet",), "orc": (".orc",),
 }
 #: Tried in order; the last takes any bytes.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -183,15 +185,19 @@ def _column(ref: str) -> int:
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
+def dated_formats(own: dict[int, str]) -> set[int]:
+    """The number formats that show dates or times, of the standard's and the workbook's ``own``."""
+    # in a format's code, letters of dates count outside of quotes, escapes, brackets and colours
+    bare = {k: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code).lower().replace("general", "") for k, code in own.items()}
+    return (_DATE_FORMATS - own.keys()) | {k for k, code in bare.items() if re.search("[dmyhs]", code.split(";")[0])}
+
+
 def _dated_styles(book: zipfile.ZipFile, names: set[str]) -> list[bool]:
     """For each style of cells: does it show its number as a date?"""
     if "xl/styles.xml" not in names:
         return []
     root = ElementTree.fromstring(book.read("xl/styles.xml"))
-    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_NS}numFmt")}
-    # in a format's code, letters of dates count outside of quotes, escapes, brackets and colours
-    bare = {k: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code).lower().replace("general", "") for k, code in own.items()}
-    dated = (_DATE_FORMATS - own.keys()) | {k for k, code in bare.items() if re.search("[dmyhs]", code.split(";")[0])}
+    dated = dated_formats({int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_NS}numFmt")})
     styles = root.find(f"{_NS}cellXfs")
     return [] if styles is None else [int(x.get("numFmtId") or 0) in dated for x in styles.iter(f"{_NS}xf")]
 
@@ -245,7 +251,12 @@ def read_excel(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
     """The sheets that have rows, every column as text.  A workbook is one file and is read whole on the driver."""
     content = spark.read.format("binaryFile").load(path).select("content").first()[0]
     out = []
-    for name, rows in sheets_of(bytes(content)):
+    content = bytes(content)
+    try:
+        sheets = list(legacy.sheets_of(content, dated_formats, serial_date) if content[:8] == legacy.SIGNATURE else sheets_of(content))
+    except (legacy.LegacyError, struct.error, zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+        raise LoadError(f"Not a readable workbook: {path} ({e})") from e
+    for name, rows in sheets:
         rows = [r for r in rows if any(v not in (None, "") for v in r)]
         if len(rows) < 2:
             continue
