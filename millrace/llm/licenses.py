@@ -116,6 +116,36 @@ unlicense | 98 | 1.0 | this is free and unencumbered software released into the
 proprietary | 60 | 0.7 | all rights reserved(?: (?:unauthorized|no part of))?
 proprietary | 70 | 0.8 | (?:proprietary and confidential|unauthorized copying of this file)
 zlib | 98 | 1.0 | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+mit | 90 | 0.8 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 45 | 0.5 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+apache-2 | 98 | 1.0 | licensed under the apache licen[cs]e version 2 0 the license you may not use this file except in compliance with the license
+apache-2 | 60 | 0.7 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+bsd-3 | 97 | 0.9 | neither the names? of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software
+bsd-4 | 98 | 1.0 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd | 45 | 0.5 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+gpl | 96 | 0.9 | you should have received a copy of the gnu general public licen[cs]e along with this (?:program|library|file)
+lgpl | 97 | 0.9 | you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this (?:program|library|file)
+agpl | 97 | 0.9 | you should have received a copy of the gnu affero general public licen[cs]e along with this (?:program|library|file)
+gfdl | 98 | 0.9 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e
+mpl-2 | 98 | 1.0 | this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0
+mpl-1 | 98 | 0.9 | the contents of this file are subject to the mozilla public licen[cs]e version 1 1
+epl | 98 | 0.9 | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
+cddl-1 | 98 | 0.9 | the contents of this file are subject to the terms of the common development and distribution licen[cs]e
+eupl-1 | 97 | 0.9 | licensed under the eupl version 1 [12]
+artistic | 97 | 0.9 | under the terms of (?:either the gnu general public licen[cs]e or )?the artistic licen[cs]e
+bsl-1 | 98 | 1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e
+wtfpl | 98 | 1.0 | everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document and changing it is allowed as long as the name is changed
+zlib | 90 | 0.8 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+openssl | 98 | 1.0 | this product includes software developed by the openssl project for use in the openssl toolkit
+php-3 | 98 | 1.0 | this product includes php software freely available from
+psf-2 | 98 | 1.0 | psf is making python available to licensee on an as is basis
+cc0 | 98 | 0.9 | to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright and related or neighbo(?:u)?ring rights
+ofl-1 | 97 | 0.9 | this font software is licensed under the sil open font licen[cs]e
+json | 98 | 1.0 | the software shall be used for good not evil
+beerware | 98 | 1.0 | if we meet some day and you think this stuff is worth it you can buy me a beer in return
+unlicense | 90 | 0.9 | anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary
+elastic-2 | 97 | 0.9 | you may not provide the software to third parties as a hosted or managed service
+busl-1.1 | 97 | 0.9 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
 """
 
 

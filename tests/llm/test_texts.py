@@ -418,3 +418,21 @@ def test_the_store_of_words_is_bounded_by_letters(monkeypatch):
     for i in range(20):
         codec.learn([f"{i}word{j}" * 5 for j in range(20)])
         assert len(codec.words) <= 60
+
+
+def test_notices_of_licenses():
+    s = licenses.LicenseScanner()
+    cases = {
+        "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "bsd-4": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "cc0": "To the extent possible under law, the author(s) have waived all copyright and related or neighboring rights",
+        "lgpl": "You should have received a copy of the GNU Lesser General Public License along with this library",
+        "json": "The Software shall be used for Good, not Evil.",
+        "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "psf-2": 'PSF is making Python available to Licensee on an "AS IS" basis.',
+    }
+    for label, text in cases.items():
+        assert label in s.scan("intro words " + text + " and more")["labels"].split(","), label
+    assert s.scan("the name of the holder and its contributors may be used")["labels"] == ""
