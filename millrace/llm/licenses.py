@@ -120,7 +120,7 @@ mit | 90 | 0.8 | the above copyright notice and this permission notice shall be
 mit | 45 | 0.5 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 apache-2 | 98 | 1.0 | licensed under the apache licen[cs]e version 2 0 the license you may not use this file except in compliance with the license
 apache-2 | 60 | 0.7 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
-bsd-3 | 97 | 0.9 | neither the names? of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software
+bsd-3 | 97 | 0.9 | nor the names of its contributors may be used to endorse or promote products derived from this software
 bsd-4 | 98 | 1.0 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 bsd | 45 | 0.5 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 gpl | 96 | 0.9 | you should have received a copy of the gnu general public licen[cs]e along with this (?:program|library|file)
@@ -139,7 +139,7 @@ zlib | 90 | 0.8 | altered source versions must be plainly marked as such and mus
 openssl | 98 | 1.0 | this product includes software developed by the openssl project for use in the openssl toolkit
 php-3 | 98 | 1.0 | this product includes php software freely available from
 psf-2 | 98 | 1.0 | psf is making python available to licensee on an as is basis
-cc0 | 98 | 0.9 | to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright and related or neighbo(?:u)?ring rights
+cc0 | 98 | 0.9 | waived all copyright and related or neighbou?ring rights
 ofl-1 | 97 | 0.9 | this font software is licensed under the sil open font licen[cs]e
 json | 98 | 1.0 | the software shall be used for good not evil
 beerware | 98 | 1.0 | if we meet some day and you think this stuff is worth it you can buy me a beer in return
