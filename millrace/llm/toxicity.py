@@ -11,6 +11,7 @@ window sums gives the score.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections import Counter, defaultdict
@@ -351,9 +352,18 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     del rows
     tidy(docs.sparkSession)
     pa.default_memory_pool().release_unused()
+    _give_back()
     return model
 
 
+def _give_back() -> None:
+    """Hands the memory that training has freed back to the system, where the C library can: the driver may go on for long."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row: id, held_out, score, predicted, n_hits.
 
