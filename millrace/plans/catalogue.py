@@ -450,7 +450,7 @@ tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL), df AS (SELECT te
 x AS (SELECT doc_id, term, n * idf AS w FROM tf JOIN df USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM x GROUP BY doc_id),
 q AS (SELECT term, idf / sqrt(sum(idf * idf) OVER ()) AS w FROM df WHERE term IN ('license', 'apache', 'version'))
 SELECT x.doc_id, round(sum(x.w / len * q.w), 4) AS similarity FROM x JOIN q USING (term) JOIN l ON l.doc_id = x.doc_id GROUP BY x.doc_id ORDER BY similarity DESC, doc_id LIMIT 5""")
-register("latent_search", lambda d: latent.LatentIndex(search.text_index(d, "doc_id", "text"), rank=32).build().search("license apache version", 10, 3).withColumnRenamed("key", "doc_id"), "documents", None)
+register("latent_search", lambda d: latent.LatentIndex(search.text_index(d, "doc_id", "text"), rank=32, passes=2).build().search("license apache version", 10, 3).withColumnRenamed("key", "doc_id"), "documents", None)
 _KEYWORDS = ["license", "password", "idiot", "the"]
 register("keyword_counts", lambda d: search.keyword_counts(d, "text", _KEYWORDS), "documents",
     " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER (regexp_matches(lower(text), '(^|[^a-z]){w}([^a-z]|$)')) AS rows FROM documents" for w in _KEYWORDS))
