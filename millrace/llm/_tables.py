@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -77,9 +78,13 @@ def forget(df: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets go of what finished queries leave on the driver: plans, generated classes, broadcasts."""
+    """Lets go of what finished queries leave on the driver: plans, generated classes, broadcasts, freed memory of Python."""
     gc.collect()
     spark._jvm.System.gc()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system, where the C library can do that
+    except (AttributeError, OSError, TypeError):
+        pass
 
 
 def spread_of(column: str | Column, ways: int = SPREAD) -> Column:
