@@ -24,6 +24,8 @@ TREE, PLAN = "org.apache.spark.sql.catalyst.trees.TreeNode", "org.apache.spark.s
 #: Calls of functions, and names that only running an expression would tell.
 FUNCTIONS = {"UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"}
 NAMED_AT_RUN_TIME = {"ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier"}
+#: Nodes of plans that pass on some of their rows, by their order.
+LIMITS = {"GlobalLimit", "LocalLimit", "Offset"}
 #: Nodes of plans that do more than read.
 COMMANDS = ("Command", "InsertInto", "CreateTable", "CreateView", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Repair", "SetCatalog", "SetNamespace", "Explain", "Describe", "Show", "Cache", "Uncache", "Refresh", "Analyze", "Load", "CreateFunction", "CreateVariable", "SetVariable", "CompoundBody", "Replace", "Call")
 
@@ -107,12 +109,69 @@ def query(tables: dict[str, DataFrame], sql: str) -> DataFrame:
             views.append(f"millrace_{uuid.uuid4().hex}")
             df.createOrReplaceGlobalTempView(views[-1])
             own.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.{views[-1]}")
-        return own.sql(sql.strip().rstrip(";"))
+        return _ordered_limits(own, own.sql(sql.strip().rstrip(";")))
     finally:
         for view in views:
             spark.catalog.dropGlobalTempView(view)
 
 
+def _ordered_limits(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` with every limit right above its sort, in subqueries too.
+
+    For an ORDER BY over columns that are not selected the analyser puts a projection between both.  A
+    correlated limit then numbers the rows of each outer value in the order in which they happen to arrive.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    lifted = _lifted(spark, plan)
+    return df if lifted is plan else DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, lifted), spark)
+
+
+def _lifted(spark: SparkSession, part):
+    """A part of a plan in which projections between a sort and its limits stand above these; the same object if there are none."""
+    gateway = spark.sparkContext._gateway
+    if not isinstance(part, JavaObject) or part.getClass().getName().startswith("org.apache.spark.sql.types."):
+        return part
+    if is_instance_of(gateway, part, TREE):
+        args = list(_each(part.productIterator()))
+        new = [_lifted(spark, a) for a in args]
+        if any(a is not b for a, b in zip(args, new)):
+            array = gateway.new_array(spark._jvm.Object, len(new))
+            for k, a in enumerate(new):
+                array[k] = a
+            part = part.makeCopy(array)
+        below = part.child() if _kind(part) in LIMITS else None
+        if below is not None and _kind(below) == "Project" and _kind(_under_limits(below.child())) == "Sort":
+            return below.withNewChildren(_sequence(spark, [part.withNewChildren(_sequence(spark, [below.child()]))]))
+        return part
+    if is_instance_of(gateway, part, "scala.collection.immutable.Seq"):
+        old = list(_each(part.iterator()))
+        new = [_lifted(spark, a) for a in old]
+        return _sequence(spark, new) if any(a is not b for a, b in zip(old, new)) else part
+    if is_instance_of(gateway, part, "scala.Some"):
+        new = _lifted(spark, part.get())
+        return part if new is part.get() else spark._jvm.scala.Option.apply(new)
+    return part
+
+
+def _kind(node: JavaObject) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _under_limits(node: JavaObject) -> JavaObject:
+    while _kind(node) in LIMITS:
+        node = node.child()
+    return node
+
+
+def _each(found) -> Iterator:
+    while found.hasNext():
+        yield found.next()
+
+
+def _sequence(spark: SparkSession, items: list):
+    return spark._jvm.PythonUtils.toSeq(items)
+
+
 def run_sql_query(tables: dict[str, DataFrame], sql: str) -> dict:
     """status, query, tables_available, row_count, returned_rows, truncated, columns, rows; errors as values."""
     try:

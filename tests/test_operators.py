@@ -432,3 +432,17 @@ def test_sketches_bound_overlaps_and_keep_all_matches(spark, monkeypatch):
     monkeypatch.setattr(integrate, "possible_overlaps", lambda t, p: dict.fromkeys(p, 1.0))
     assert integrate.match_schemas(tables, profiles) == found and found[0].left_column == "customer_key"
     assert seen[0] < seen[1]
+
+
+def test_limits_by_outer_value_follow_an_order_over_columns_that_are_not_selected(spark):
+    t = {"c": spark.range(3).withColumnRenamed("id", "k"), "o": spark.sql("SELECT id AS o, id % 3 AS k, -id AS p FROM range(20)").repartition(7)}
+    for text, want in (
+        ("SELECT k, o FROM c, LATERAL (SELECT o FROM o WHERE o.k = c.k ORDER BY p DESC, o LIMIT 2) t", [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]),
+        ("SELECT k, o FROM c, LATERAL (SELECT o FROM o WHERE o.k = c.k ORDER BY p DESC LIMIT 1 OFFSET 1) t", [(0, 3), (1, 4), (2, 5)]),
+        ("SELECT k, (SELECT o FROM o WHERE o.k = c.k ORDER BY p LIMIT 1) AS x FROM c", [(0, 18), (1, 19), (2, 17)]),
+    ):
+        out = sql.query(t, text)
+        assert sorted(map(tuple, out.collect())) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert all(" p#" in x.partition("specifiedwindowframe")[0] for x in plan.split("windowspecdefinition(")[1:]), plan  # not by chance
+    assert [r.o for r in sql.query(t, "SELECT o FROM o ORDER BY p LIMIT 3").collect()] == [19, 18, 17]
