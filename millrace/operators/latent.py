@@ -1,9 +1,9 @@
 """Latent vectors of texts: a randomised decomposition of the matrix of documents and terms.
 
-The matrix is the table of an index's postings.  A random vector of every term, drawn from its digest, is taken through the
-matrix and back a few times (Halko, Martinsson and Tropp 2011); each pass is a join of postings with
-vectors and a weighted sum by group, with partial sums before the shuffle.  Between passes the vectors are made orthogonal by their Gram
-matrix, whose size is that of a vector squared; nothing else reaches the driver.
+The matrix is the table of an index's postings, packed into tiles of whole documents.  Vectors of random signs, drawn from each term's digest, are
+taken through the matrix and back a few times (Halko, Martinsson and Tropp 2011).  A tile takes the vector of
+each of its terms once, however many postings the term has there, and gives one sum for each; what moves is a row for each tile and term of it.
+Between passes the vectors are made orthogonal by their Gram matrix, whose size is that of a vector squared; nothing else reaches the driver.
 
 Texts then are near that share no word but words that go together elsewhere.
 """
@@ -16,35 +16,140 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import place_of, staged
+from ..shared import forget, place_of, save, staged
 from .search import TextIndex, nearest
 
 #: Dimensions, further ones that only the passes have, and passes.
 RANK, SPARE, PASSES = 64, 16, 4
+#: Postings of a tile, about: documents are dealt to tiles by hash and stay whole.
+TILE = 3_000_000
+#: Postings that are multiplied at once, and rows that are given at once.
+AT_ONCE, ROWS = 40_000, 10_000
+
+
+def _drawn(terms: list[str], width: int, seed: int) -> np.ndarray:
+    """A vector of random signs for each term, the same in every run."""
+    size = -(-width // 8)
+    digests = b"".join(hashlib.blake2b(t.encode(), digest_size=size, key=str(seed).encode()).digest() for t in terms)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(terms), size), axis=1)[:, :width]
+    return bits.astype(np.float32) * 2 - 1
+
+
+def _tiles(postings: DataFrame) -> DataFrame:
+    """Rows of unit length: keys and terms of a tile, and for each posting, document by document, its term's place and weight."""
+    kind = postings.schema["key"].dataType.simpleString()
+    count = max(1, -(-postings.count() // TILE))
+
+    def pack(table: pa.Table) -> pa.Table:
+        key, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("key", "term"))
+        of, at = key.indices.to_numpy(), term.indices.to_numpy()
+        w = table.column("weight").to_numpy()
+        w = w / np.sqrt(np.bincount(of, w * w))[of]
+        order = np.lexsort((at, of))
+        sizes = np.bincount(of)
+        columns = [key.dictionary, term.dictionary, pa.array(sizes.astype(np.int32)), pa.array(at[order].astype(np.int32)), pa.array(w[order].astype(np.float32))]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        return pa.table([table.column("tile").slice(0, 1), *lists], ["tile", "keys", "terms", "sizes", "at", "weight"])
+
+    dealt = postings.select(F.pmod(F.xxhash64("key"), F.lit(count)).cast("int").alias("tile"), "key", "term", "weight")
+    return staged(dealt.groupBy("tile").applyInArrow(pack, f"tile int, keys array<{kind}>, terms array<string>, sizes array<int>, at array<int>, weight array<float>"))
+
+
+def _sums(values: np.ndarray, by: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The weighted sums of the rows ``values[by]`` from each start to the next; no run is empty."""
+    out = np.empty((len(starts), values.shape[1]), np.float32)
+    ends = np.append(starts[1:], len(by))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + AT_ONCE, "right")))
+        lo, hi = starts[first], ends[last - 1]
+        out[first:last] = np.add.reduceat(values[by[lo:hi]] * weight[lo:hi, None], starts[first:last] - lo, axis=0)
+        first = last
+    return out
+
+
+class _Tile:
+    def __init__(self, row: pa.RecordBatch | pa.Table, k: int = 0):
+        get = lambda c: row.column(c)[k].values
+        self.keys, self.terms = get("keys"), get("terms")
+        self.sizes, self.at, self.weight = (get(c).to_numpy() for c in ("sizes", "at", "weight"))
+
+    def forth(self, x: np.ndarray) -> np.ndarray:
+        """Vectors of documents from those of terms."""
+        return _sums(x, self.at, self.weight, np.cumsum(self.sizes) - self.sizes)
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        """The tile's share in the vectors of its terms."""
+        order = np.argsort(self.at, kind="stable")
+        counts = np.bincount(self.at)
+        return _sums(y, np.repeat(np.arange(len(y)), self.sizes)[order], self.weight[order], np.cumsum(counts) - counts)
+
+
+def _listed(ids: pa.Array, vectors: np.ndarray):
+    """Batches of (id, vec)."""
+    for k in range(0, len(ids), ROWS):
+        part = np.ascontiguousarray(vectors[k : k + ROWS], np.float32)
+        ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+        yield pa.RecordBatch.from_arrays([ids.slice(k, ROWS), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["id", "vec"])
+
+
+def _first_pass(tiles: DataFrame, width: int, seed: int) -> DataFrame:
+    """(id, vec) by tile and term: random vectors through the matrix and back."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = _Tile(batch, k)
+                yield from _listed(tile.terms, tile.back(tile.forth(_drawn(tile.terms.to_pylist(), width, seed))))
 
+    return tiles.mapInArrow(run, "id string, vec array<float>")
 
-def _drawn(terms: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, vec): a vector of normal numbers for each term, the same in every run."""
 
-    def draw(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            rows = [np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{t}".encode()).digest()[:8])).normal(size=width) for t in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.float64()))], ["id", "vec"])
+def _through(tiles: DataFrame, vectors: DataFrame, width: int, back: bool) -> DataFrame:
+    """(id, vec): vectors of terms through the matrix, by document, or also back, by tile and term."""
+    kind = "string" if back else tiles.schema["keys"].dataType.elementType.simpleString()
+
+    def run(tile_rows: pa.Table, known: pa.Table) -> pa.Table:
+        tile = _Tile(tile_rows)
+        vec = known.column("vec").combine_chunks()
+        x = vec.flatten().to_numpy().reshape(len(vec), width)
+        place = pa.compute.index_in(tile.terms, known.column("id").combine_chunks()).to_numpy()
+        y = tile.forth(x[place])
+        return pa.Table.from_batches(_listed(tile.terms, tile.back(y)) if back else _listed(tile.keys, y))
 
-    return terms.select(F.col("term").alias("id")).mapInArrow(draw, "id string, vec array<double>")
+    wanted = tiles.select(F.col("tile").alias("of"), F.explode("terms").alias("id"))
+    sent = wanted.join(vectors.hint("shuffle_hash"), "id").select("of", "id", "vec")
+    return tiles.groupBy("tile").cogroup(sent.groupBy("of")).applyInArrow(run, f"id {kind}, vec array<float>")
 
 
-def _through(postings: DataFrame, vectors: DataFrame, by: str, to: str) -> DataFrame:
-    """(id, vec) of ``to``: the sum of the vectors of ``by``, each by the weight that ties both."""
-    rows = postings.join(vectors.withColumnRenamed("id", by), by).select(F.col(to).alias("id"), array_to_vector("vec").alias("v"), "weight")
-    return staged(rows.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("weight"))).alias("vec")))
+def _summed(shares: DataFrame) -> DataFrame:
+    """(id, vec): the sums by term of what tiles give, one run of sorted rows after another."""
+
+    def run(batches):
+        name = total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+            other = np.append(True, pa.compute.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)) if len(ids) > 1 else np.array([True])
+            starts = np.flatnonzero(other)
+            sums, names = np.add.reduceat(x, starts, axis=0), ids.take(pa.array(starts))
+            if name is not None and name == names[0].as_py():
+                sums[0] += total
+            elif name is not None:
+                yield from _listed(pa.array([name]), total[None, :])
+            name, total = names[-1].as_py(), sums[-1]
+            yield from _listed(names.slice(0, len(names) - 1), sums[:-1])
+        if name is not None:
+            yield from _listed(pa.array([name]), total[None, :])
+
+    return staged(shares.repartition("id").sortWithinPartitions("id").mapInArrow(run, "id string, vec array<float>"))
 
 
 def _gram(vectors: DataFrame, width: int) -> np.ndarray:
@@ -53,7 +158,7 @@ def _gram(vectors: DataFrame, width: int) -> np.ndarray:
     def add(batches):
         total = np.zeros((width, width))
         for batch in batches:
-            x = np.array(batch.column(0).flatten()).reshape(-1, width)
+            x = np.array(batch.column(0).flatten(), float).reshape(-1, width)
             total += x.T @ x
         cells = pa.array(np.arange(width * width, dtype=np.int32))
         yield pa.RecordBatch.from_arrays([cells, pa.array(total.ravel())], ["cell", "value"])
@@ -66,14 +171,11 @@ def _gram(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
-    kind = vectors.schema["id"].dataType.simpleString()
-
     def apply(batches):
         for batch in batches:
-            x = np.array(batch.column(1).flatten()).reshape(-1, len(matrix)) @ matrix
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["id", "vec"])
+            yield from _listed(batch.column(0), np.array(batch.column(1).flatten(), float).reshape(-1, len(matrix)) @ matrix)
 
-    return vectors.select("id", "vec").mapInArrow(apply, f"id {kind}, vec array<double>")
+    return vectors.select("id", "vec").mapInArrow(apply, "id string, vec array<float>")
 
 
 def _principal(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +183,7 @@ def _principal(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     squares, axes = np.linalg.eigh(gram)
     order = np.argsort(-squares)
     squares, axes = squares[order], axes[:, order]
-    kept = squares > max(squares[0], 1e-300) * 1e-12
+    kept = squares > max(squares.max(initial=0.0), 1e-300) * 1e-12
     return axes[:, kept], np.sqrt(squares[kept])
 
 
@@ -102,24 +204,22 @@ class LatentIndex:
         if self.built:
             return self
         cloudpickle.register_pickle_by_value(sys.modules[__name__])
-        postings = self.spark.read.parquet(f"{self.index.path}/postings").filter("weight > 0")
-        width = self.rank + SPARE
-        vectors = _drawn(self.spark.read.parquet(f"{self.index.path}/terms"), width, self.seed)
+        tiles = _tiles(self.spark.read.parquet(f"{self.index.path}/postings").filter("weight > 0"))
+        width, vectors = self.rank + SPARE, None
         for k in range(self.passes):
-            by_text = _through(postings, vectors, "term", "key")
-            axes, lengths = _principal(_gram(by_text, width))
-            by_text = _times(by_text, axes / lengths)
-            width = axes.shape[1]
-            vectors = _through(postings, by_text, "key", "term")
-            axes, lengths = _principal(_gram(vectors, width))
-            last = k == self.passes - 1
-            vectors = _times(vectors, (axes / lengths)[:, : self.rank if last else None])
-            width = min(axes.shape[1], self.rank) if last else axes.shape[1]
+            shares = _first_pass(tiles, width, self.seed) if k == 0 else _through(tiles, vectors, width, back=True)
+            before, summed = summed if k else None, _summed(shares)
+            if before is not None:
+                forget(before)
+            axes, lengths = _principal(_gram(summed, width))
+            matrix = (axes / lengths)[:, : self.rank if k == self.passes - 1 else None]
+            vectors, width = _times(summed, matrix), matrix.shape[1]
         # the terms' vectors are orthonormal now; a document's is its row of the matrix, seen along them
-        vectors.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/terms")
-        terms = self.spark.read.parquet(f"{self.path}/terms")
-        rows = postings.join(terms.withColumnRenamed("id", "term"), "term").select("key", array_to_vector("vec").alias("v"), "weight")
-        rows.groupBy("key").agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("weight"))).alias("vec")).write.mode("overwrite").parquet(f"{self.path}/documents")
+        save(vectors.repartitionByRange("id").sortWithinPartitions("id"), f"{self.path}/terms")
+        forget(summed)
+        documents = _through(tiles, self.spark.read.parquet(f"{self.path}/terms"), width, back=False)
+        save(documents.withColumnRenamed("id", "key"), f"{self.path}/documents")
+        forget(tiles)
         return self
 
     def vector(self, query: str) -> list[float] | None:
