@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import place_of, shared_folder
+from ..shared import place_of, save, shared_folder
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,11 +34,27 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def term_counts(text: Column) -> Column:
+    """The terms of a text with their numbers, as an array of (term, n): sorted, so that each is one run."""
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return _within(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(words)) - i).cast("long").alias("n"))))
+
+    return _within(F.sort_array(terms_of(text)), runs)
+
+
+def _within(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class TextIndex:
     """Weights of terms in documents as Parquet tables, sorted by term, so that a query reads its terms' rows only.
 
-    ``postings`` holds (term, key, weight): TF-IDF by weights from all documents, of unit length in each
-    document.  ``terms`` holds (term, documents).  Nothing is as wide as the vocabulary.
+    ``postings`` holds (term, key, weight): TF-IDF by weights from all documents; ``lengths`` holds (key, length), the
+    length that a document's weights have together.  ``terms`` holds (term, documents).  Nothing is as wide as the vocabulary.
+    Texts are read twice, so postings move once: to their terms.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -51,16 +67,16 @@ class TextIndex:
         index = cls(spark, path)
         rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
         n = rows.select("key").distinct().count()
-        counts = rows.select("key", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("n"))
-        counts.write.parquet(f"{index.path}/counts")
-        counts = spark.read.parquet(f"{index.path}/counts")
+        counts = rows.select("key", F.explode_outer(term_counts(F.col("text"))).alias("c")).select("key", "c.*").filter("term is not null")
+        if rows.count() > n:
+            counts = counts.groupBy("term", "key").agg(F.sum("n").alias("n"))
         documents = counts.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-        documents.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{index.path}/terms")
+        save(documents.repartitionByRange("term").sortWithinPartitions("term"), f"{index.path}/terms")
         documents = spark.read.parquet(f"{index.path}/terms")
-        weighed = counts.join(documents, "term").select("term", "key", (F.col("n") * _rarity(n)).alias("w"))
-        length = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        postings = weighed.join(length, "key").select("term", "key", F.try_divide("w", "length").alias("weight"))
-        postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{index.path}/postings")
+        weighed = counts.join(documents.hint("shuffle_hash"), "term").select("term", "key", (F.col("n") * _rarity(n)).alias("weight"))
+        save(weighed.sortWithinPartitions("term", "key"), f"{index.path}/postings")
+        postings = spark.read.parquet(f"{index.path}/postings")
+        save(postings.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")), f"{index.path}/lengths")
         # the size is written last: an index without it was not finished
         spark.createDataFrame([(n,)], "documents long").coalesce(1).write.parquet(f"{index.path}/size")
         return index
@@ -86,8 +102,9 @@ class TextIndex:
         """(key, similarity) of the documents most like the query, by the cosine of both; ties by key."""
         weights = self.query_weights(query)
         rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("term").isin(list(weights)))
+        rows = rows.join(self.spark.read.parquet(f"{self.path}/lengths"), "key")
         share = F.coalesce(*[F.when(F.col("term") == t, w) for t, w in weights.items()], F.lit(0.0))
-        scored = rows.groupBy("key").agg(F.round(F.sum(share * F.col("weight")), digits).alias("similarity"))
+        scored = rows.groupBy("key").agg(F.round(F.sum(share * F.try_divide("weight", "length")), digits).alias("similarity"))
         return scored.orderBy(F.desc("similarity"), F.asc("key")).limit(top_k) if top_k else scored
 
 
@@ -103,7 +120,7 @@ def text_index(df: DataFrame, key: str, text: str, folder: str | None = None) ->
     spark = df.sparkSession
     row = F.xxhash64(F.col(key), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
     n, a, b = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
-    path = f"{(folder or shared_folder(spark)).rstrip('/')}/text-index-{hashlib.sha256(repr((key, text, n, a, b)).encode()).hexdigest()[:32]}"
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/text-index-2-{hashlib.sha256(repr((key, text, n, a, b)).encode()).hexdigest()[:32]}"
     index = TextIndex(spark, path)
     if index.documents is None:
         system, place = place_of(spark, path)

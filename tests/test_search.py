@@ -8,6 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from millrace import shared
 from millrace.operators import latent, search
 from millrace.shared import place_of
 
@@ -104,3 +107,43 @@ def test_latent_vectors_are_kept(spark, index):
     before = first.search("apple", 5).collect()
     assert first.built and latent.LatentIndex(index, rank=3, passes=1).build().search("apple", 5).collect() == before
     assert latent.latent_rank(1) == 2 and latent.latent_rank(10**9) == latent.RANK
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_vectors_move_by_tile_and_term_and_not_by_posting(spark, index, monkeypatch, passes):
+    """Documents and terms of several tiles have the vectors that one tile gives them, and what moves is bounded by tiles and terms."""
+    whole = latent.LatentIndex(index, rank=5, passes=passes, seed=1).build()
+    want = {r.key: r.vec for r in spark.read.parquet(f"{whole.path}/documents").collect()}
+    monkeypatch.setattr(latent, "TILE", 700)
+    monkeypatch.setattr(latent, "AT_ONCE", 50)
+    moved, plain = [], latent._summed
+
+    def counting(shares):
+        moved.append(shares.count())
+        return plain(shares)
+
+    monkeypatch.setattr(latent, "_summed", counting)
+    cut = latent.LatentIndex(index, rank=5, passes=passes, seed=1)
+    cut.path += "-cut"
+    got = {r.key: r.vec for r in spark.read.parquet(f"{cut.build().path}/documents").collect()}
+    assert got.keys() == want.keys()
+    a, b = (np.array([x[k] for k in sorted(want)]) for x in (got, want))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-4)
+    postings, terms = (spark.read.parquet(f"{index.path}/{t}").count() for t in ("postings", "terms"))
+    tiles = -(-postings // 700)
+    assert tiles > 2 and len(moved) == passes and all(terms <= m <= min(postings, tiles * terms) for m in moved)
+
+
+def test_an_index_moves_postings_once(spark, tmp_path):
+    """Texts with a key each: counts by document take no shuffle, and those by term are the only rows of postings that move."""
+    rows = [(1, "b a b  c\u00c9 b"), (2, ""), (3, None), (4, "a"), (5, "\u00e9 \u00c9 x" * 3)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r.k: [tuple(x) for x in r.c] for r in df.select("k", search.term_counts(F.col("t")).alias("c")).collect()}
+    want = {k: sorted(Counter(re.findall(r"\w+", (t or "").lower())).items()) for k, t in rows}
+    assert {k: [x for x in v if x[0] is not None] for k, v in got.items()} == want
+    plans = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search, "save", lambda d, path: (plans.append((path.rsplit("/", 1)[1], d._jdf.queryExecution().executedPlan().toString())), shared.save(d, path)))
+        search.TextIndex.build(df, "k", "t", str(tmp_path / "index"))
+    moves = {name: plan.count("Exchange ") for name, plan in plans}
+    assert moves["postings"] == 2 and moves["lengths"] == 1  # one of the two is that of the terms' numbers
