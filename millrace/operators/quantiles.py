@@ -137,10 +137,11 @@ def grouped_quantiles(df: DataFrame, by: list[str], column: str | Column, probs:
         settled.append(state.filter(is_one).select("k", "total", F.explode("ranks").alias("rank"), F.col("low").alias("value")))
         few, many = state.agg(F.count_if(~is_one & (F.col("n") <= FEW)), F.count_if(~is_one & (F.col("n") > FEW))).first()
         if few:
-            listed = _inside(values, state.filter(~is_one & (F.col("n") <= FEW)), few)
-            listed = listed.groupBy("k", "total", "ranks", "start", "low").agg(F.sort_array(F.collect_list("x")).alias("all"))
-            at = F.explode(F.transform("ranks", lambda r: F.struct(r.alias("rank"), F.get("all", (r - F.col("start")).cast("int")).alias("value"))))
-            settled.append(listed.select("k", "total", at.alias("at")).select("k", "total", "at.*"))
+            # values go to their range as they are and are sorted there: lists of a task's values would take memory by its size
+            listed = _inside(values, state.filter(~is_one & (F.col("n") <= FEW)).drop("n", "ranks"), few).select("k", "total", "start", "low", "x")
+            place = F.col("start") + F.row_number().over(Window.partitionBy("k", "low").orderBy("x")) - 1
+            placed = listed.select("k", "total", place.alias("rank"), F.col("x").alias("value"))
+            settled.append(placed.filter(F.array_contains(_places(probs), F.col("rank"))))
         if not many:
             break
         parts = _inside(values, state.filter(~is_one & (F.col("n") > FEW)), many)
@@ -158,18 +159,22 @@ def _holding(bins: DataFrame, ranges: list[str], probs: list[float]) -> DataFram
     """The bins that hold a wanted rank, with these ranks and the number of values before them."""
     upto = Window.partitionBy(*ranges).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     counted = bins.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    places = [f(F.lit(p) * (F.col("total") - 1)).cast("long") for p in probs for f in (F.floor, F.ceil)]
-    inside = F.filter(F.array_distinct(F.array(*places)), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
+    inside = F.filter(F.array_distinct(_places(probs)), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
     return counted.select("k", "total", "start", "n", "low", "high", inside.alias("ranks")).filter(F.size("ranks") > 0)
 
 
+def _places(probs: list[float]) -> Column:
+    """The wanted ranks of a group with ``total`` values."""
+    return F.array(*[f(F.lit(p) * (F.col("total") - 1)).cast("long") for p in probs for f in (F.floor, F.ceil)])
+
+
 def _inside(values: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
     """Values with the range of their group that they lie in, if any; ranges of a group do not overlap."""
     if n <= SENT_RANGES:
         joined = values.join(F.broadcast(ranges), "k")  # counted
     else:
         dealt = ranges.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(WAYS)])))
-        joined = values.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(WAYS)).cast("int")).join(dealt, ["k", "salt"])
+        joined = values.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(WAYS)).cast("int")).join(dealt.hint("shuffle_hash"), ["k", "salt"])
     return joined.filter("x between low and high")
 
 

@@ -85,3 +85,14 @@ def test_a_hot_value_is_one_bin(spark):
     df = spark.range(200_000).select(F.when(F.col("id") % 3 > 0, 12.5).otherwise(F.col("id")).alias("v"))
     n, (q,) = Q.quantiles(df, {"v": F.col("v")}, [0.5])["v"]
     assert (n, q) == (200_000, 12.5)
+
+
+def test_values_are_not_listed_in_memory(spark, monkeypatch):
+    """No plan gathers values in lists or sorts the whole table, whose memory would grow with a task's input."""
+    df = spark.range(6000).select((F.col("id") % 40).alias("g"), (F.col("id") * 7919 % 6007).cast("double").alias("v"))
+    for sent in (20_000, 0):
+        monkeypatch.setattr(Q, "SENT_RANGES", sent)
+        out = Q.grouped_quantiles(df, ["g"], "v", [0.5])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list(x" not in plan and "SortMergeJoin [k" not in plan
+        assert ("row_number()" in plan) and out.count() == 40
