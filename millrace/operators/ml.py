@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -17,6 +17,8 @@ from .neighbours import CLASSES, neighbour_information
 from .profile import TableProfile, logical_type
 
 MAX_CATEGORIES, REGRESSION_DISTINCT, MIN_ROWS = 50, 15, 10
+#: Rows of a task in training; forests hold theirs with a number for each tree and feature.
+TASK_ROWS = 50_000
 
 
 def task_type(df: DataFrame, target: str) -> str:
@@ -47,7 +49,8 @@ def split_rows(df: DataFrame, target: str, key: str | None = None, test: float =
     return df.withColumn("_test", F.pmod(F.xxhash64(h, target), F.lit(1000)) < int(test * 1000))
 
 
-def _pipeline(numbers: list[str], categories: list[str], model) -> Pipeline:
+def _fitted(numbers: list[str], categories: list[str], model, data: DataFrame, rows: int) -> PipelineModel:
+    """Preparation and forest; the forest's rows are dealt to tasks of ``TASK_ROWS``, as one file or row group may else be one task that grows with the table."""
     stages = []
     if numbers:
         stages.append(Imputer(inputCols=numbers, outputCols=[f"_n_{c}" for c in numbers], strategy="median"))
@@ -55,7 +58,9 @@ def _pipeline(numbers: list[str], categories: list[str], model) -> Pipeline:
         stages.append(StringIndexer(inputCols=[f"_s_{c}" for c in categories], outputCols=[f"_i_{c}" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categories], outputCols=[f"_o_{c}" for c in categories], dropLast=False, handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=[f"_n_{c}" for c in numbers] + [f"_o_{c}" for c in categories], outputCol="_features"))
-    return Pipeline(stages=[*stages, model])
+    prepared = Pipeline(stages=stages).fit(data)
+    vectors = prepared.transform(data).select("_label", "_features", *[c for c in data.columns if c == "_weight"])
+    return PipelineModel([*prepared.stages, model.fit(vectors.repartition(max(1, -(-rows // TASK_ROWS))))])
 
 
 def _typed(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
@@ -103,7 +108,7 @@ def train_model(df: DataFrame, target: str, task: str | None = None, features: l
         data = data.withColumn("_label", F.col(target).cast("double"))
         model = RandomForestRegressor(featuresCol="_features", labelCol="_label", numTrees=trees, seed=seed)
     train, test = data.filter("not _test"), data.filter("_test")
-    fitted = _pipeline(numbers, categories, model).fit(train)
+    fitted = _fitted(numbers, categories, model, train, n)
     scored = fitted.transform(test).cache()
     try:
         if task == "classification":
@@ -133,7 +138,7 @@ def analyze_churn(df: DataFrame, *, trees: int = 100, seed: int = 42) -> dict:
     weight = F.when(F.col("_y") == 1, F.lit(r["n"] / (2 * r["s"]))).otherwise(F.lit(r["n"] / (2 * (r["n"] - r["s"]))))
     data = _typed(rows, numbers, categories).withColumn("_label", F.col("_y").cast("double")).withColumn("_weight", weight)
     model = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", numTrees=trees, seed=seed)
-    fitted = _pipeline(numbers, categories, model).fit(data)
+    fitted = _fitted(numbers, categories, model, data, r["n"])
     return {"rows_used": r["n"], "churn_rate_percent": round(100 * r["rate"], 2), "top_features": _importances(fitted, numbers, categories)}
 
 

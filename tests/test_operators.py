@@ -446,3 +446,16 @@ def test_limits_by_outer_value_follow_an_order_over_columns_that_are_not_selecte
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert all(" p#" in x.partition("specifiedwindowframe")[0] for x in plan.split("windowspecdefinition(")[1:]), plan  # not by chance
     assert [r.o for r in sql.query(t, "SELECT o FROM o ORDER BY p LIMIT 3").collect()] == [19, 18, 17]
+
+
+def test_training_deals_rows_to_tasks_of_bounded_size(spark, monkeypatch):
+    df = spark.range(900).selectExpr("id % 30 AS size", "concat('b', id % 4) AS brand", "id % 30 * 2 + id % 4 * 10 AS price", "if(id % 4 = 1, 'yes', 'no') AS churn").coalesce(1)
+    parts = []
+    monkeypatch.setattr(ml, "TASK_ROWS", 100)
+    for model in (ml.RandomForestRegressor, ml.RandomForestClassifier):
+        monkeypatch.setattr(model, "fit", lambda self, rows, fit=model.fit: (parts.append([len(x) for x in rows.rdd.glom().collect()]), fit(self, rows))[1])
+    out = ml.train_model(df.drop("churn"), "price", trees=5)
+    assert out["train_rows"] + out["test_rows"] == 900 and out["metrics"]["r2"] > 0.5
+    assert ml.train_model(df.drop("price"), "churn", trees=5)["metrics"]["accuracy"] > 0.9
+    assert ml.analyze_churn(df, trees=5)["rows_used"] == 900
+    assert len(parts) == 3 and all(len(p) == 9 and max(p) <= 110 for p in parts) and sum(parts[2]) == 900
