@@ -134,6 +134,49 @@ def test_vectors_move_by_tile_and_term_and_not_by_posting(spark, index, monkeypa
     assert tiles > 2 and len(moved) == passes and all(terms <= m <= min(postings, tiles * terms) for m in moved)
 
 
+def test_a_term_moves_once_for_each_band_of_tiles(spark, index, monkeypatch):
+    """A band takes a term's vector once and gives its sum once, however many of its tiles have the term, with numbers of two bytes."""
+    whole = latent.LatentIndex(index, rank=5, passes=2, seed=2).build()
+    want = {r.key: r.vec for r in spark.read.parquet(f"{whole.path}/documents").collect()}
+    for name, value in {"TILE": 200, "ROWS": 16, "AT_ONCE": 50, "DEALT": 500, "_band": lambda tiles, tasks: 4}.items():
+        monkeypatch.setattr(latent, name, value, raising=False)
+    moved, plain = [], latent._summed
+
+    def counting(shares):
+        moved.append(shares.agg(F.count("id"), F.max(F.octet_length(F.col("vec").cast("binary")))).first() if dict(shares.dtypes)["vec"] == "binary" else (shares.count(), None))
+        return plain(shares)
+
+    monkeypatch.setattr(latent, "_summed", counting)
+    cut = latent.LatentIndex(index, rank=5, passes=2, seed=2)
+    cut.path += "-bands"
+    got = {r.key: r.vec for r in spark.read.parquet(f"{cut.build().path}/documents").collect()}
+    assert got.keys() == want.keys()
+    a, b = (np.array([x[k] for k in sorted(want)]) for x in (got, want))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-4)
+    postings = spark.read.parquet(f"{index.path}/postings").filter("weight > 0")
+    tiles = -(-postings.count() // 200)
+    pairs = postings.select("term", F.pmod(F.xxhash64("key"), F.lit(tiles)).alias("tile")).distinct()
+    by_band = pairs.select("term", F.floor(F.col("tile") / 4)).distinct().count()
+    assert tiles > 8 and by_band < 0.6 * pairs.count() and [tuple(m) for m in moved] == [(by_band, 4 + 2 * 21)] * 2
+
+
+def test_bands_share_the_tasks_evenly():
+    assert [latent._band(tiles, tasks) for tiles, tasks in ((1, 8), (8, 8), (27, 6), (27, 100), (latent.BAND * 12, 12))] == [1, 1, 5, 1, latent.BAND]
+    for tiles in range(1, 700, 9):
+        band = latent._band(tiles, 12)
+        assert 1 <= band <= latent.BAND and band * 12 * -(-tiles // (12 * latent.BAND)) >= tiles
+
+
+def test_latent_vectors_of_odd_tables(spark, tmp_path):
+    rows = [("a", "x y z"), ("b", "x y"), ("c", None), ("d", "z z z w"), ("e", "  ")]
+    found = latent.LatentIndex(search.text_index(spark.createDataFrame(rows, "k string, t string"), "k", "t", str(tmp_path / "1")), rank=2, passes=2).build()
+    assert {r.key for r in spark.read.parquet(f"{found.path}/documents").collect()} == {"a", "b", "d"} and found.search("w", 1).first().key == "d"
+    for k, rows in enumerate([[], [("a", None), ("b", "")], [("a", "one")]]):  # no document, no term, no term with a weight
+        df = spark.createDataFrame(rows, "k string, t string")
+        found = latent.LatentIndex(search.text_index(df, "k", "t", str(tmp_path / f"0{k}")), rank=2, passes=2).build()
+        assert found.search("one").count() == 0 and spark.read.parquet(f"{found.path}/documents").columns == ["key", "vec"]
+
+
 def test_an_index_moves_postings_once(spark, tmp_path):
     """Texts with a key each: counts by document take no shuffle, and those by term are the only rows of postings that move."""
     rows = [(1, "b a b  c\u00c9 b"), (2, ""), (3, None), (4, "a"), (5, "\u00e9 \u00c9 x" * 3)]
